@@ -25,12 +25,14 @@ BLOCKED_HOSTS = (
     "ads-track.test-a.org adserver-track.test-b.com trackads.test-c.net poker-free.test-a.com free-money.test-b.net win-prizes.test-c.org malware-drop.test-a.org phish-login.test-b.com "
     "replica-watches.test-c.net"
 ).split()
-ALLOWED_HOSTS = (
-    "www.riverside.test-a.com blog.gardening.test-b.net m.thunder.test-c.org history.test-a.net www.mathematics.test-b.org notes.physics.test-c.com library.test-a.org "
-    "m.theatre.test-b.com blog.northern.test-c.net weather.test-a.com www.thread.test-b.net recipes.test-c.org m.ethics.test-a.net blog.station.test-b.org www.hearth.test-c.com "
-    "m.another.test-a.org blog.nation.test-b.com school.test-c.net www.breath.test-a.com m.stone.test-b.net blog.the-garden.test-c.org www.old-town.test-a.org city-news.test-b.com "
-    "m.long-walk.test-c.net"
+#: Ordinary names, among them some that hold a blocked word by chance; hosts are made of them by turns.
+ALLOWED_NAMES = (
+    "riverside gardening thunder history mathematics physics library theatre northern weather thread recipes ethics station hearth another nation school breath stone "
+    "meadow shadow alphabet window pillow freedom trackside farming cheaper winter between trading masterclass mountain edition theory intention others thinker "
+    "the-garden old-town city-news long-walk open-data green-house health heating method rather athens hands handle tension station-wagon reading ocean harbour sand island "
+    "kitchen painting sailing cinema museum forest village planet orchestra science teacher student journal review archive atlas bridge market street garden letters poetry"
 ).split()
+ALLOWED_HOSTS = [("", "www.", "m.", "blog.")[i % 4] + name + (".test-a.com", ".test-b.net", ".test-c.org")[i % 3] for i, name in enumerate(ALLOWED_NAMES)]
 PATHS = ("/en/12", "/de/7.html", "/fr/403/", "/es/88", "/", "")
 
 
