@@ -33,23 +33,49 @@ CACHED_WORDS = 300_000
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes. Blanks and line feeds part what the tokenizer sees, so each stretch between them is encoded once and remembered, within a bound."""
+    """Ids of whole texts as little-endian 32-bit bytes. Blanks and line feeds part what the tokenizer sees, so each stretch
+    between them is encoded once and remembered, in two generations of bounded size. A stretch of plain Latin letters with ASCII
+    marks behind is two words to the tokenizer; these go straight to its model, in the byte alphabet. All else takes the whole tokenizer."""
+
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.latin = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()}
+        self.new, self.old = {}, {}
+
+    def _word(self, word: str) -> bytes:
+        return np.asarray([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+
+    def _encode(self, part: str) -> bytes:
+        stem = part.rstrip(self.MARKS)
+        low = stem.lower()
+        if stem and stem.isalpha() and max(stem) < "\u0250" and low.isalpha() and len(low) == len(stem):
+            head = self._word(low if low.isascii() else low.translate(self.latin))
+            return head + self[part[len(stem) :]] if len(stem) < len(part) else head
+        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __getitem__(self, part: str) -> bytes:
+        if (got := self.new.get(part)) is None:
+            if (got := self.old.get(part)) is None:
+                got = self._encode(part)
+            if len(self.new) >= CACHED_WORDS:
+                self.old, self.new = self.new, {}
+            self.new[part] = got
+        return got
 
     def __call__(self, text: str) -> bytes:
-        parts, known = text.replace("\n", " ").split(" "), self.known
-        if new := [x for x in set(parts) if x not in known]:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(parts))
-            for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[x] = np.asarray(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, parts))
+        parts = text.replace("\n", " ").split(" ")
+        try:
+            return b"".join(map(self.new.__getitem__, parts))
+        except KeyError:
+            return b"".join(map(self.__getitem__, parts))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
