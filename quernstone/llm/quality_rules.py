@@ -33,6 +33,9 @@ RULES = {
 }
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 ROUNDS, TOLERANCE = 25, 1e-4
+#: A rule sees one kind of junk: where it does, it is nearly always right; on other junk it votes good. These are its first
+#: accuracies on good and on junk, and the bounds that keep it better than chance.
+START, ON_GOOD, ON_JUNK = (0.99, 0.3), (0.6, 0.999), (0.05, 0.99)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -96,7 +99,7 @@ def _posterior(model: dict, names: list[str]) -> Column:
 def label_model(voted: DataFrame, names: list[str]) -> dict:
     """Accuracies of each rule on good and on junk documents, and the prior, from columns of votes 1, 0 and -1."""
     patterns = written(voted.groupBy(*names).agg(F.count("*").alias("n")))
-    model: dict = {"prior": 0.8} | dict.fromkeys(names, (0.8, 0.8))
+    model: dict = {"prior": 0.8} | dict.fromkeys(names, START)
     for _ in range(ROUNDS):
         p, n = F.col("p"), F.col("n")
         sums = [F.sum(n * p).alias("good"), F.sum(n).alias("all")]
@@ -106,8 +109,8 @@ def label_model(voted: DataFrame, names: list[str]) -> dict:
         got = patterns.withColumn("p", _posterior(model, names)).agg(*sums).first()
         if not got["all"]:
             return model
-        rate = lambda a, b: min(0.99, max(0.5, (a + 4) / (b + 5)))  # noqa: E731  a rule is better than chance, never sure
-        new = {"prior": min(0.99, max(0.01, (got["good"] + 1) / (got["all"] + 2)))} | {v: (rate(got[f"{v}_g"], got[f"{v}_ga"]), rate(got[f"{v}_j"], got[f"{v}_ja"])) for v in names}
+        rate = lambda a, b, bounds: min(bounds[1], max(bounds[0], (a + 1) / (b + 2)))
+        new = {"prior": min(0.99, max(0.01, (got["good"] + 1) / (got["all"] + 2)))} | {v: (rate(got[f"{v}_g"], got[f"{v}_ga"], ON_GOOD), rate(got[f"{v}_j"], got[f"{v}_ja"], ON_JUNK)) for v in names}
         moved = max(abs(new["prior"] - model["prior"]), *(abs(a - b) for v in names for a, b in zip(new[v], model[v], strict=True)))
         model = new
         if moved < TOLERANCE:

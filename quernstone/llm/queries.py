@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, quality_rules, sharding, url_filter
+from . import exact, minhash, mixing, packing, quality_knn, quality_rules, sharding, toxicity, url_filter
 from .common import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -22,6 +22,29 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def remainder(n: int):
+    """Of the checksum of the document's id, by which labels are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where(remainder(3) != 1).select("doc_id", "quality")
+    got = quality_knn.knn_scores(table(spark, sf_dir, "documents"), labels)
+    return got.select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+TOXIC = 0.3
+
+
+def scored_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.toxic_scores(docs, labels.where(remainder(4) != 2).select("doc_id", "toxic"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = scored_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,13 +67,17 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), word_tokenizer_path())
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.token_pieces(docs, word_tokenizer_path())
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack_pieces(digests).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op10_packing)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op10_packing)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
