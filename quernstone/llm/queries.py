@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, quality_knn, quality_rules, sharding, toxicity, url_filter
+from . import exact, minhash, mixing, packing, quality_knn, quality_rules, sharding, suffixes, toxicity, url_filter
 from .common import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -67,6 +67,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     pieces = packing.token_pieces(docs, word_tokenizer_path())
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -77,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op9_suffix_array, op10_packing)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
