@@ -4,9 +4,10 @@ Documents with equal shingle sets are one class. Each class posts its id under e
 signature. Values that only one class has cannot collide; a class is active if enough of its values are shared. Of two
 classes with at least MATCHES equal coordinates, both have one of these among their first COORDINATES - MATCHES + 1 in
 the order of rarity, so only this prefix is merged. Merging goes in three steps, each over what is not connected yet:
-a posting list links every member to its most central one; then it proposes a maximum spanning forest of collision
-counts between components; then all pairs left between different components. Lists are merged in blocks, so no
-task holds a whole long list. Every link is confirmed on the full shingle sets, and only confirmed ones join components.
+a posting list links every member to its most central one; then each class takes its full set to a few of its longest
+lists, where the members settle among themselves, in the order of collisions and skipping what is connected meanwhile; then
+the lists propose the pairs left between different components. Lists are merged in blocks, so no task
+holds a whole long list. Every link is confirmed on the full shingle sets, and only confirmed ones join components.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
 shingle; equal rows are in one class; rows without an id get no component; no rows give no rows. Shingles are told by
@@ -27,6 +28,8 @@ WIDTH, COORDINATES, MATCHES = 5, 128, 80
 SIMILAR = (75, 100)
 #: Members of a posting list that meet in one task.
 BLOCK = 1500
+#: Lists of so many members at least settle with full sets, and each class takes its set to so many of them.
+LONG, HOMES = 32, 3
 CACHED_WORDS = 500_000
 _R = np.random.default_rng(20_240_311)
 _ODD = (_R.integers(0, 2**32, COORDINATES, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -91,7 +94,7 @@ def _sketch(batches):
 def _sets(batches):
     for b in batches:
         texts = b.column(1).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(word_hashes(t.as_py())).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.sort(shingles(word_hashes(t.as_py())).view(np.int64)) for t in texts], pa.list_(pa.int64()))], names=["id", "shingles"])
 
 
 def _postings(batches):
@@ -132,53 +135,90 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.where(SIMILAR[1] * same >= SIMILAR[0] * (total - same)).select("a", "b")
 
 
-PAIRS = "a long, b long, matches int"
-
-
-def _merge(forest: bool):
-    """For one block, or two, of a posting list: pairs of different components with enough collisions, each only under
-    the first coordinate that is in the prefixes of both and collides. forest: only a maximum spanning forest of them."""
-
-    def run(key, group):
-        ids, comp = group.column("id").to_numpy(), group.column("component").to_numpy()
-        size, block = group.column("n").to_numpy(), group.column("block").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        pre = np.unpackbits(np.frombuffer(b"".join(group.column("prefix").to_pylist()), dtype=np.uint8).reshape(len(ids), -1), axis=1)[:, :COORDINATES].astype(bool)
-        token, one, two = (k.as_py() for k in key)
-        at = token >> 32
-        a_, b_, m_ = [], [], []
-        rows, cols = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        for i in rows:
-            c = cols[cols > i] if one == two else cols
-            c = c[(comp[c] != comp[i]) & (SIMILAR[1] * np.minimum(size[c], size[i]) >= SIMILAR[0] * np.maximum(size[c], size[i]))]
-            if not len(c):
-                continue
-            equal = sig[c] == sig[i]
-            hits = equal.sum(axis=1)
-            ok = hits >= MATCHES
-            if ok.any():
-                ok &= (equal & pre[c] & pre[i]).argmax(axis=1) == at
-            for j, h in zip(c[ok], hits[ok], strict=True):
-                a_.append(i), b_.append(j), m_.append(h)
-        if forest and a_:
-            root = {x: x for x in set(comp.tolist())}
-
-            def top(x):
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            chosen = []
-            for k in np.argsort(-np.asarray(m_), kind="stable"):
-                x, y = top(comp[a_[k]]), top(comp[b_[k]])
-                if x != y:
-                    root[x] = y
-                    chosen.append(k)
-            a_, b_, m_ = ([v[k] for k in chosen] for v in (a_, b_, m_))
-        a, b = ids[a_] if a_ else np.empty(0, np.int64), ids[b_] if b_ else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "matches": pa.array(m_, pa.int32())})
-
-    return run
+PAIRS = "a long, b long"
+
+
+def _bits(rows: list, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(n, -1), axis=1)[:, :COORDINATES].astype(bool)
+
+
+def _candidates(group: pa.Table, key, settled: bool):
+    """For one block, or two, of a posting list: rows i, j of different components with enough collisions, and how many.
+    settled: only under the first coordinate that is in the prefixes of both and collides, and if no list had both sets."""
+    comp, size, block = (group.column(c).to_numpy() for c in ("component", "n", "block"))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+    token, one, two = (k.as_py() for k in key)
+    if settled:
+        pre, home = _bits(group.column("prefix").to_pylist(), len(comp)), np.zeros((len(comp), COORDINATES), bool)
+        for row, tokens in zip(home, group.column("homes").to_pylist(), strict=True):
+            row[np.asarray(tokens or [], dtype=np.int64) >> 32] = True
+    cols = np.flatnonzero(block == two)
+    for i in np.flatnonzero(block == one):
+        c = cols[cols > i] if one == two else cols
+        c = c[(comp[c] != comp[i]) & (SIMILAR[1] * np.minimum(size[c], size[i]) >= SIMILAR[0] * np.maximum(size[c], size[i]))]
+        if not len(c):
+            continue
+        equal = sig[c] == sig[i]
+        hits = equal.sum(axis=1)
+        ok = hits >= MATCHES
+        if settled and ok.any():
+            ok &= ((equal & pre[c] & pre[i]).argmax(axis=1) == token >> 32) & ~(equal & home[c] & home[i]).any(axis=1)
+        if ok.any():
+            yield np.full(int(ok.sum()), i), c[ok], hits[ok]
+
+
+def _pairs(ids: np.ndarray, i, j) -> pa.Table:
+    a, b = ids[np.asarray(i, dtype=np.int64)], ids[np.asarray(j, dtype=np.int64)]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+
+def _propose(key, group):
+    found = list(_candidates(group, key, True))
+    i, j = (np.concatenate([f[k] for f in found]) if found else [] for k in (0, 1))
+    return _pairs(group.column("id").to_numpy(), i, j)
+
+
+def _settle(key, group):
+    """Links between the components of one block, or two, of a list, as many as connect them."""
+    found = list(_candidates(group, key, False))
+    if not found:
+        return _pairs(group.column("id").to_numpy(), [], [])
+    i, j, hits = (np.concatenate([f[k] for f in found]) for k in range(3))
+    comp, sets = group.column("component").to_pylist(), [x.values.to_numpy() for x in group.column("shingles")]
+    root = {x: x for x in comp}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right = [], []
+    for k in np.argsort(-hits, kind="stable"):
+        x, y = top(comp[i[k]]), top(comp[j[k]])
+        if x != y:
+            a, b = sets[i[k]], sets[j[k]]
+            at = np.searchsorted(a, b)
+            same = int((a[np.minimum(at, len(a) - 1)] == b).sum())
+            if SIMILAR[1] * same >= SIMILAR[0] * (len(a) + len(b) - same):
+                root[x] = y
+                left.append(i[k]), right.append(j[k])
+    return _pairs(group.column("id").to_numpy(), left, right)
+
+
+def _in_blocks(held: DataFrame) -> DataFrame:
+    """Deals the members of each token's list over blocks, and each block out to every pair of blocks it is in."""
+    held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return held.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other")
+
+
+def _open(active: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the posting lists that still hold several components."""
+    parts = components(links)
+    held = active.join(parts.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    held = held.select("id", "n", "sig", "component", "prefix", F.explode("tokens").alias("token"))
+    lists = held.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 1 and lo < hi")
+    return held.join(lists.select("token", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).hint("merge"), "token")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,22 +252,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = pairs.join(marked.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")).hint("merge"), "b")
     pairs = written(pairs.where(f"{SIMILAR[1]} * least(na, nb) >= {SIMILAR[0]} * greatest(na, nb)").mapInArrow(_enough, "a long, b long").distinct())
     links = written(_confirmed(pairs, sets))
-    tried = pairs
-
-    for forest in (True, False):
-        parts = components(links)
-        held = active.join(parts.hint("merge"), F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-        held = held.select("id", "n", "sig", "component", "prefix", F.explode("tokens").alias("token"))
-        open_ = held.groupBy("token").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("members > 1 and lo < hi").select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-        held = held.join(open_.hint("merge"), "token")
-        held = held.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        held = held.withColumn("other", F.explode(other)).withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-        held = held.select("token", "one", "two", "id", "n", "component", "block", "sig", "prefix")
-        found = held.groupBy("token", "one", "two").applyInArrow(_merge(forest), PAIRS).select("a", "b").distinct()
-        fresh = written(found.join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti"))
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(written(_confirmed(fresh, sets)))
+
+    # Long lists settle with full sets.
+    held = _open(active, links).where(F.col("members") >= LONG)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("members"), "token"))
+    homes = written(held.withColumn("rank", rank).where(F.col("rank") <= HOMES).drop("rank", "members", "prefix"))
+    full = _in_blocks(homes).join(sets.withColumnRenamed("id", "sid").hint("merge"), F.col("id") == F.col("sid")).drop("sid")
+    links = links.unionByName(written(full.groupBy("token", "one", "two").applyInArrow(_settle, PAIRS)))
+
+    # What is left between components, whose members never met with their sets.
+    at_home = homes.groupBy("id").agg(F.collect_list("token").alias("homes")).withColumnRenamed("id", "hid")
+    held = _open(active, links).join(at_home.hint("merge"), F.col("id") == F.col("hid"), "left").drop("hid", "members")
+    found = _in_blocks(held).groupBy("token", "one", "two").applyInArrow(_propose, PAIRS).distinct()
+    fresh = written(found.join(pairs.hint("shuffle_hash"), ["a", "b"], "left_anti"))
+    links = links.unionByName(written(_confirmed(fresh, sets)))
     parts = components(links)
     named = usable.select("set_key", "id").join(classes.select(F.col("id").alias("node_id")).hint("merge"), F.col("id") == F.col("node_id"))
     named = named.join(parts.hint("merge"), F.col("node_id") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node_id").alias("component"))

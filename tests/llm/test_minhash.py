@@ -63,6 +63,7 @@ def test_diffuse_group(spark):
 
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "LONG", 1000)
     check(spark, near_copies(3, 90, (0.01, 0.02, 0.04)))
 
 
