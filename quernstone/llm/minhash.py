@@ -108,7 +108,7 @@ def _postings(batches):
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) for the nodes of a, b edges: alternating large and small stars."""
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now, before = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()), None
+    now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     while True:
         near = both(now)
         least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
@@ -118,10 +118,10 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least.hint("merge"), F.col("b") == F.col("u"))
         small = small.select(F.col("m").alias("a"), "b").unionByName(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a < b").distinct()
         now = written(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
-        before = state
+        seen = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        # Done when all are stars: nobody is both over and under another, or under two.
+        if seen.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down")).where("up + down > 1").isEmpty():
+            return now.select(F.col("b").alias("node"), F.col("a").alias("component"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:

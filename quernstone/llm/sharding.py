@@ -10,8 +10,10 @@ by nothing and share places among them; null and empty texts have size 1; no row
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,11 +71,13 @@ def shuffled_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows = written(docs.select(F.col(id_col), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32")))
     n = rows.count()
 
-    @F.pandas_udf("long")
-    def place(number: pd.Series) -> pd.Series:
-        return pd.Series(permute(number.to_numpy(), n, key))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("place", pa.array(permute(b.column("number").to_numpy(), n, key)))
 
-    out = numbered(rows, [id_col, "size", "text_crc32"]).withColumn("place", place("number"))
+    out = numbered(rows, [id_col, "size", "text_crc32"])
+    shape = ", ".join(f"`{c}` {kind}" for c, kind in out.dtypes)
+    out = out.mapInArrow(place, f"{shape}, place long")
     return out.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.expr(f"place div {shards}"))
 
 

@@ -27,7 +27,7 @@ INSULTS = (
     "imbecile cretin dimwit jerk bastard filth vermin coward liar creep freak scumbag"
 ).split()
 WORD_GROUPS, START_GROUPS, START = 4, 2, 4
-PER_LABEL, LEAST_DOCS, LEAST_ODDS, LEXICON = 3000, 8, 3.5, 4000
+PER_LABEL, LEAST_DOCS, LEAST_ODDS, LEXICON = 2000, 8, 3.5, 4000
 DIMENSIONS, FEATURES, SURE = 1 << 18, 400, 4.0
 ROUNDS, STEPS, PENALTY = 15, 12, 0.3
 #: Share of the clean texts that counts as seen with a clean vote under each vote of a voter's parent.

@@ -9,10 +9,6 @@ by the regression, which has only its intercept then; equal rows get equal resul
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +69,10 @@ def with_grams(df: DataFrame) -> DataFrame:
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None):
+    from pyspark.ml import Pipeline  # only where needed: these modules are large
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+
     labelled = labelled_urls(spark) if labelled is None else labelled
     host, path = parts("url")
     rows = with_grams(labelled.select(host.alias("host"), path.alias("path"), "blocked"))
@@ -82,6 +82,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None):
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], model=None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of pages: id, host, path, rule, blocked_probability (the regression's), verdict (allow or block)."""
+    from pyspark.ml.functions import vector_to_array
+
     model = train(pages.sparkSession) if model is None else model
     host, path = parts(url_col)
     rows = with_grams(pages.select(F.col(id_col), host.alias("host"), path.alias("path")))
