@@ -33,14 +33,14 @@ _OWN = {i: ("A" if chr(i).isupper() else "a" if chr(i).isalpha() else "0" if chr
 
 
 class Features(dict):
-    """Hashed dimensions of the shape and of the letters of a word, remembered within a bound."""
+    """Hashed dimensions of the shape and of the letters of a word, in the upper and the lower 16 bits; remembered within a bound."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
         shape = _RUNS.sub(r"\1", word.translate(_OWN))[:16]
         letters = "".join(filter(str.isalpha, word)).lower()
-        self[word] = got = (2 + xxhash.xxh32_intdigest(shape) % (SHAPES - 2), SHAPES + xxhash.xxh32_intdigest(letters or word) % WORDS)
+        self[word] = got = 2 + xxhash.xxh32_intdigest(shape) % (SHAPES - 2) << 16 | SHAPES + xxhash.xxh32_intdigest(letters or word) % WORDS
         return got
 
 
@@ -52,8 +52,8 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     found = text.split()
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    pairs = np.array(list(map(_features.__getitem__, found)), dtype=np.int64)
-    all_ = np.bincount(pairs.ravel(), minlength=DIMENSIONS)
+    pairs = np.fromiter(map(_features.__getitem__, found), dtype=np.int64, count=len(found))
+    all_ = np.bincount(pairs >> 16, minlength=DIMENSIONS) + np.bincount(pairs & 0xFFFF, minlength=DIMENSIONS)
     all_[0] = sum(map(str.__eq__, found[1:], found))
     at = np.flatnonzero(all_)
     return at, all_[at]
