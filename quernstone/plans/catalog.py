@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import search, text
-from ..operators import relational
+from ..operators import evidence, relational
 from ..streaming import changes
 from ..views import run_sql, with_views
 from .dialect import DUCK, SPARK, Dialect
 
-TEXTS = {**relational.R, **text.R, **search.R, **changes.R}
+TEXTS = {**relational.R, **evidence.R, **text.R, **search.R, **changes.R}
 
 
 def _query(make) -> Callable[[SparkSession, str], DataFrame]:
