@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import search, text
+from ..functions import context, search, text
 from ..operators import evidence, relational
+from ..sources import packages
 from ..streaming import changes
 from ..views import run_sql, with_views
 from .dialect import DUCK, SPARK, Dialect
 
-TEXTS = {**relational.R, **evidence.R, **text.R, **search.R, **changes.R}
+TEXTS = {**relational.R, **evidence.R, **text.R, **search.R, **context.R, **packages.R, **changes.R}
 
 
 def _query(make) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,7 +21,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | packages.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:
