@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Registry
-from ..views import VIEWS
+from ..views import VIEWS, run_sql
 
 R = Registry()
 
@@ -93,3 +93,72 @@ def _(d: Dialect) -> str:
 SELECT concat('u', CAST(user_id AS STRING)) AS object_id, min(t) AS first_us, count(*) AS records FROM
 (SELECT user_id, t, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM
 (SELECT user_id, event_id, {t} AS t, CASE WHEN {t} - lag({t}) OVER (PARTITION BY user_id ORDER BY {t}, event_id) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events) a) b GROUP BY user_id, s"""
+
+
+def sync_folder(listing: DataFrame, cursor: DataFrame | None) -> DataFrame:
+    """path, kind of what a folder's listing (path, h) changes against the listing that the cursor keeps; without one all is new."""
+    if cursor is None:
+        return listing.select("path", F.lit("create").alias("kind"))
+    old = cursor.select(F.col("path").alias("was"), F.col("h").alias("old"))
+    kind = F.when(F.col("was").isNull(), "create").when(F.col("path").isNull(), "delete").otherwise("update")
+    met = listing.join(old, F.col("path") == F.col("was"), "full").where(F.col("was").isNull() | F.col("path").isNull() | ~F.col("h").eqNullSafe(F.col("old")))
+    return met.select(F.coalesce("path", "was").alias("path"), kind.alias("kind"))
+
+
+#: The same folder at three times: some files come, some go, some change.
+LISTINGS = (
+    "SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'old' ELSE lang END AS h FROM documents WHERE doc_id % 10 <> 1",
+    "SELECT doc_id AS path, lang AS h FROM documents WHERE doc_id % 10 <> 2",
+    "SELECT doc_id AS path, lang AS h FROM documents WHERE doc_id % 10 <> 2",
+)
+
+
+def folder_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a scheduled job; each keeps its listing as the next one's cursor."""
+    folder, cursor = shared_folder(spark), None
+    for run, sql in enumerate(LISTINGS):
+        kept = f"{folder}/cursor-{run}"
+        run_sql(spark, sf_dir, sql).write.parquet(kept)
+        listing = spark.read.parquet(kept)
+        sync_folder(listing, cursor).withColumn("run", F.lit(run)).write.mode("append").parquet(f"{folder}/changes")
+        cursor = listing
+    return spark.read.schema("path long, kind string, run int").parquet(f"{folder}/changes")
+
+
+DENIED_OBJECTS = "SELECT DISTINCT s.object_id FROM v_object_sources s JOIN v_permissions p ON p.scoped_id = s.scoped_id WHERE p.can_read = false"
+DENIED_LATER = "SELECT concat('d', CAST(doc_id AS STRING)) AS object_id FROM labels WHERE quality = 0"
+
+
+def live_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object is delivered twice; between the deliveries more are denied. Each batch meets the permissions as they are then."""
+    folder = shared_folder(spark)
+    schema = "object_id string, delivery int"
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        denied = spark.read.schema("object_id string").parquet(f"{folder}/denied").distinct()
+        batch.join(denied, "object_id", "left_anti").write.mode("append").parquet(f"{folder}/out")
+
+    for delivery, sql in enumerate((DENIED_OBJECTS, DENIED_LATER)):
+        run_sql(spark, sf_dir, sql).write.mode("append").parquet(f"{folder}/denied")
+        run_sql(spark, sf_dir, f"SELECT object_id, {delivery} AS delivery FROM v_objects").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/out")
+
+
+STREAMS |= {"str_folder_changes": folder_changes, "str_live_permissions": live_permissions}
+
+R.plain(
+    str_folder_changes=f"""
+SELECT path, 'create' AS kind, 0 AS run FROM ({LISTINGS[0]}) f
+UNION ALL SELECT coalesce(n.path, p.path), CASE WHEN p.path IS NULL THEN 'create' WHEN n.path IS NULL THEN 'delete' ELSE 'update' END, 1
+FROM ({LISTINGS[0]}) p FULL OUTER JOIN ({LISTINGS[1]}) n ON p.path = n.path WHERE p.path IS NULL OR n.path IS NULL OR p.h <> n.h""",
+    str_live_permissions=f"""
+SELECT o.object_id, 0 AS delivery FROM v_objects o ANTI JOIN ({DENIED_OBJECTS}) d ON d.object_id = o.object_id
+UNION ALL SELECT o.object_id, 1 FROM v_objects o ANTI JOIN ({DENIED_OBJECTS} UNION ALL {DENIED_LATER}) d ON d.object_id = o.object_id""",
+    # Turns as feedback: the first of a request in its tenant and silo counts; one without an identity or with an accepted candidate is refused.
+    str_feedback_ingest="""
+SELECT message_id, CASE WHEN request_id IS NULL THEN 'missing_identity' WHEN accepted THEN 'already_accepted' WHEN n > 1 THEN 'duplicate' ELSE '' END AS rejected FROM
+(SELECT message_id, request_id, accepted, row_number() OVER (PARTITION BY request_id, tenant_id, silo_id, accepted ORDER BY ord) AS n FROM
+(SELECT message_id, tenant_id, silo_id, ord, CASE WHEN role <> 'system' THEN concat(role, CAST(conv_id % 1000000 AS STRING)) END AS request_id, msg_index % 5 = 4 AS accepted FROM v_messages) f) t""",
+)
