@@ -1,6 +1,6 @@
 """Retrieval and ranking: token overlap, lexical, vector, hybrid and weighted scores.
 
-Requests meet objects over shared tokens, an equi-join, never as all pairs; objects that share no token score 0 anyway."""
+Requests meet objects over shared tokens, an equi-join, never as all pairs; in overlap scores, objects that share no token score 0 anyway."""
 
 from __future__ import annotations
 
@@ -121,7 +121,8 @@ def _(d: Dialect) -> str:
 
 def hybrid(d: Dialect) -> str:
     """0.6 cosine + 0.4 lexical share. With all 128 components an arithmetic sequence from v, the cosine has a closed form:
-    sums of v, of squares and of products of 0.01 i over i < 128."""
+    sums of v, of squares and of products of 0.01 i over i < 128. Not every chunk is scored, but none of the first TOP of a request is
+    left out: a chunk that shares no term comes after TOP others of its scope that have as high a cosine or stand before it."""
     dot = lambda a, b: f"(128 * {a} * {b} + 81.28 * ({a} + {b}) + 69.088)"
     level = lambda x: f"(({code_points(d, x)}) % 100) / 100.0"
     terms = lambda x: d.matches(f"lower({x})", r"[^\x09-\x0D\x20]+")
@@ -129,9 +130,16 @@ def hybrid(d: Dialect) -> str:
     c = f"SELECT *, CAST({level('body')} AS DOUBLE) AS v, {terms('body')} AS words FROM ({chunks(d)}) c0"
     hits = f"SELECT c.object_id, c.k, q.item_id, count(*) AS hits FROM (SELECT object_id, k, tenant_id, silo_id, {d.each}(words) AS term FROM ({c}) c1) c JOIN (SELECT item_id, tenant_id, silo_id, {d.each}(terms) AS term FROM ({q}) q1) q ON q.term = c.term AND q.tenant_id = c.tenant_id AND q.silo_id = c.silo_id GROUP BY c.object_id, c.k, q.item_id"
     cosine = f"{dot('q.v', 'c.v')} / (sqrt({dot('q.v', 'q.v')}) * sqrt({dot('c.v', 'c.v')}))"
-    return f"""
-SELECT q.item_id, c.object_id, c.ord, c.k, round(0.6 * CAST({cosine} AS DOUBLE) + 0.4 * h.hits / {d.size}(c.words), 4) AS score, CASE WHEN c.source_platform IS NOT NULL THEN 0.95 ELSE 0.7 END AS confidence
-FROM ({hits}) h JOIN ({c}) c ON c.object_id = h.object_id AND c.k = h.k JOIN ({q}) q ON q.item_id = h.item_id"""
+    shown = f"q.item_id, c.object_id, c.ord, c.k, round(0.6 * CAST({cosine} AS DOUBLE) + 0.4 * coalesce(h.hits, 0) / {d.size}(c.words), 4) AS score, CASE WHEN c.source_platform IS NOT NULL THEN 0.95 ELSE 0.7 END AS confidence"
+    if not d.spark:
+        # The check scores every chunk in scope.
+        return f"SELECT {shown} FROM ({c}) c JOIN ({q}) q ON q.tenant_id = c.tenant_id AND q.silo_id = c.silo_id LEFT JOIN ({hits}) h ON h.object_id = c.object_id AND h.k = c.k AND h.item_id = q.item_id"
+    # Chunks without a shared term: in each scope, the first of each level, and of these the best for each level asked for.
+    leveled = f"SELECT object_id, ord, k, tenant_id, silo_id, CAST({level('body')} AS DOUBLE) AS v FROM ({chunks(d)}) c2"
+    early = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, silo_id, v ORDER BY ord, k) AS early FROM ({leveled}) c3) c4 WHERE early <= {TOP}"
+    near = f"SELECT * FROM (SELECT q.tenant_id, q.silo_id, q.v, c.object_id, c.k, row_number() OVER (PARTITION BY q.tenant_id, q.silo_id, q.v ORDER BY round(0.6 * CAST({cosine} AS DOUBLE), 4) DESC, c.ord, c.k) AS near FROM ({early}) c JOIN (SELECT DISTINCT tenant_id, silo_id, v FROM ({q}) q2) q ON q.tenant_id = c.tenant_id AND q.silo_id = c.silo_id) c5 WHERE near <= {TOP}"
+    found = f"SELECT object_id, k, item_id, max(hits) AS hits FROM ({hits} UNION ALL SELECT n.object_id, n.k, q.item_id, 0 FROM ({near}) n JOIN ({q}) q ON q.tenant_id = n.tenant_id AND q.silo_id = n.silo_id AND q.v = n.v) u GROUP BY object_id, k, item_id"
+    return f"SELECT {shown} FROM ({found}) h JOIN ({c}) c ON c.object_id = h.object_id AND c.k = h.k JOIN ({q}) q ON q.item_id = h.item_id"
 
 
 @R.add("qry_hybrid_search")
