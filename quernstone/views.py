@@ -70,7 +70,7 @@ SELECT user_id, ts, event_id AS ord, CASE WHEN event_id % 10 = 0 THEN 'Other' EL
 FROM events
 """,
     "v_signal_text": """
-SELECT doc_id, concat(substring(text, 1, 200), ' see https://ex', CAST(doc_id % 9 AS STRING), '.org/p on 2024-0', CAST(1 + doc_id % 9 AS STRING),
+SELECT doc_id, concat(coalesce(text, ''), ' see https://ex', CAST(doc_id % 9 AS STRING), '.org/p on 2024-0', CAST(1 + doc_id % 9 AS STRING),
        '-1', CAST(doc_id % 10 AS STRING), ' file run_', CAST(doc_id % 21 AS STRING), '.py mail u', CAST(doc_id % 33 AS STRING), '@mail.example.com ',
        CASE doc_id % 6 WHEN 0 THEN 'we will use Python with Docker, Python?' WHEN 1 THEN 'need to learn React and react now' WHEN 2 THEN 'Google has Go. Good'
                        WHEN 3 THEN 'the oracle compiler docker docker [Source 1] [Source 3]' WHEN 4 THEN 'C++ C++x [source 2] [Source 2]' ELSE 'todo Élan pythonique' END) AS content

@@ -42,3 +42,16 @@ def test_hybrid_scores_every_chunk_in_scope(spark, tmp_path):
     assert {(x.item_id, x.object_id, x.score) for x in got} == want
     top = catalog.queries()["top_hybrid"](spark, sf).collect()
     assert {(x.item_id, x.place) for x in top} == {(item, k) for item, _ in asked for k in (1, 2, 3)}
+
+
+def test_signals_after_200_characters(spark, tmp_path):
+    tail = " at https://late.org/x by late@late.org on 1999-12-31 in late.py, we will see Kubernetes [Source 9]"
+    docs = [(1, "word " * 60 + tail, "en", "s", 0), (2, None, "en", "s", 0), (4, "short", "en", "s", 0)]
+    sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS))
+    rows = lambda key: catalog.queries()[key](spark, sf).collect()
+    got = {(x.doc_id, x.type, x.value) for x in rows("fn_regex_entities")}
+    late = {(1, "url", "https://late.org"), (1, "email", "late@late.org"), (1, "date", "1999-12-31"), (1, "file", "late.py")}
+    assert late <= got and {x[0] for x in got} == {1, 2, 4}
+    assert {x.days for x in rows("fn_temporal_signals") if x.doc_id == 1} == {"1999-12-31,2024-02-11"}
+    assert 9 in {x.n for x in rows("fn_citation_indexes") if x.doc_id == 1}
+    assert [x.decision for x in rows("fn_candidates") if x.doc_id == 1] == [True]
