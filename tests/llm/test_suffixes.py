@@ -62,3 +62,14 @@ def test_awkward_rows(spark):
     got = {(r.doc_id, r.start, r.n_words) for r in suffixes.repeated_passages(frame(spark)).collect()}
     assert covered(got) == covered(brute(rows()))
     assert suffixes.repeated_passages(frame(spark, [])).collect() == []
+
+
+def test_near_copies_edited_at_different_places(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    base, data = [word() for _ in range(300)], []
+    for i in range(400):
+        text = " ".join(word() if r.random() < 1 / 20 else w for w in base)
+        data.append((i, text, None, None, None, None, None, None))
+    got = {(x.doc_id, x.start, x.n_words) for x in suffixes.repeated_passages(frame(spark, data)).collect()}
+    assert covered(got) == covered(brute(data))
