@@ -22,7 +22,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:

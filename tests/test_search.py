@@ -55,3 +55,15 @@ def test_signals_after_200_characters(spark, tmp_path):
     assert {x.days for x in rows("fn_temporal_signals") if x.doc_id == 1} == {"1999-12-31,2024-02-11"}
     assert 9 in {x.n for x in rows("fn_citation_indexes") if x.doc_id == 1}
     assert [x.decision for x in rows("fn_candidates") if x.doc_id == 1] == [True]
+
+
+def test_cosine_asks_with_every_50th_vector(spark, tmp_path):
+    r = random.Random(5)
+    data = [(i, [r.random() for _ in range(8)]) for i in range(1050)]
+    sf = tables(spark, tmp_path, embeddings=(data, "vec_id long, embedding array<double>"))
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+    want = set()
+    for i, v in data[::50]:
+        best = sorted((-cos(v, w), j) for j, w in data if j != i)[:5]
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(best)}
+    assert {tuple(x) for x in catalog.queries()["qry_cosine"](spark, sf).collect()} == want
