@@ -21,8 +21,7 @@ R.plain(
 
 @R.add("fn_normalize_text")
 def _(d: Dialect) -> str:
-    x = d.replaced("replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))", r"[ \x09]+", " ")
-    return f"SELECT doc_id, {d.sha('lower(' + d.strip(x) + ')')} AS normalized FROM documents"
+    return f"SELECT doc_id, {d.sha(d.normalized('text'))} AS normalized FROM documents"
 
 
 @R.add("fn_regex_index_terms")

@@ -217,8 +217,8 @@ def _(d: Dialect) -> str:
 
 
 def fingerprints(d: Dialect) -> str:
-    clean = d.strip(d.replaced("content", "[ \\x09]+", " "))
-    return f"SELECT conv_id, min(ord) AS ord, {d.sha(d.joined(f'concat(role, chr(58), lower({clean}))', 'ord'))} AS fingerprint FROM v_messages WHERE length({BARE}) > 0 GROUP BY conv_id"
+    said = f"concat(role, chr(58), {d.normalized('content')})"
+    return f"SELECT conv_id, min(ord) AS ord, {d.sha(d.joined(said, 'ord'))} AS fingerprint FROM v_messages WHERE length({BARE}) > 0 GROUP BY conv_id"
 
 
 @R.add("fn_content_fingerprint")

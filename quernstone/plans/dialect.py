@@ -32,6 +32,12 @@ class Dialect:
     def strip(self, x: str) -> str:
         return self.replaced(x, r"^[\x09-\x0D\x1C-\x20]+|[\x09-\x0D\x1C-\x20]+$", "")
 
+    def normalized(self, x: str) -> str:
+        """Line ends as LF, runs of blanks and tabs as one blank, at most one empty line, stripped, lower case."""
+        lines = f"replace(replace({x}, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10))"
+        blanks = self.replaced(self.replaced(lines, r"[ \x09]+", " "), r"\x0A{3,}", "\n\n")
+        return f"lower({self.strip(blanks)})"
+
     def sha(self, x: str) -> str:
         return f"sha2({x}, 256)" if self.spark else f"sha256({x})"
 

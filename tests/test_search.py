@@ -67,3 +67,14 @@ def test_cosine_asks_with_every_50th_vector(spark, tmp_path):
         best = sorted((-cos(v, w), j) for j, w in data if j != i)[:5]
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(best)}
     assert {tuple(x) for x in catalog.queries()["qry_cosine"](spark, sf).collect()} == want
+
+
+def test_line_ends_and_blank_lines_do_not_tell_texts_apart(spark, tmp_path):
+    texts = ["A  b\n\nc", "a b\r\n\r\nc", "a b\r\rC ", "a b\n\n\n\n\nc", "a b\nc"]
+    talks = [(i, 0, "user", t) for i, t in enumerate(texts, 1)]
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts, 1)]
+    sf = tables(spark, tmp_path, conversations=(talks, "conv_id long, turn int, role string, text string"), documents=(docs, DOCUMENTS))
+    rows = lambda key: catalog.queries()[key](spark, sf).collect()
+    assert sorted(x.n for x in rows("agg_fingerprint_groups")) == [1, 4]
+    assert {x.conv_id: x.canonical for x in rows("win_canonical")} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    assert len({x.normalized for x in rows("fn_normalize_text")}) == 2
