@@ -13,6 +13,8 @@ PLATFORMS = ("gemini", "chatgpt", "openai", "claude", "anthropic", "grok", "perp
 NAMES = {"gemini": "Gemini", "chatgpt": "ChatGPT", "openai": "ChatGPT", "claude": "Claude", "anthropic": "Claude", "grok": "Grok", "perplexity": "Perplexity", "copilot": "Copilot"}
 BARE = "replace(replace(replace(replace(content, ' ', ''), chr(9), ''), chr(10), ''), chr(13), '')"
 SESSION_GAP_S = 1800
+#: As in fn_candidates.
+CANDIDATES = {"question": "[?][ ]*$", "decision": "(we will|decided|agreed)", "action": "(todo|need to|must|should)", "claim": "( is | are | was )"}
 
 
 def platform(x: str, default: str) -> str:
@@ -27,7 +29,7 @@ R.plain(
     prj_platform_from_source=f"SELECT conv_id, source, {platform('source', 'Unknown')} AS platform, {platform('source', 'Unmapped')} AS mapped FROM v_conversations",
     flt_browse_objects="SELECT object_id, title FROM v_objects WHERE (lower(title) LIKE '%the%' OR lower(content) LIKE '%the%' OR CAST(conversation_id AS STRING) LIKE '%the%') AND source_platform = 'src1'",
     flt_browse_attachments="SELECT attachment_id, file_name FROM v_attachments WHERE lower(file_name) LIKE '%f1%' OR lower(media_type) LIKE '%f1%'",
-    flt_list_title="SELECT conv_id, title, count(*) OVER () AS total FROM v_conversations WHERE lower(coalesce(title, '')) LIKE '%th%'",
+    flt_list_title="SELECT c.conv_id, c.title, t.total FROM v_conversations c CROSS JOIN (SELECT count(*) AS total FROM v_conversations WHERE lower(coalesce(title, '')) LIKE '%th%') t WHERE lower(coalesce(c.title, '')) LIKE '%th%'",
     prj_lineage_complete="SELECT object_id, coalesce(source_platform, '') <> '' AND coalesce(source_file, '') <> '' AND conversation_id IS NOT NULL AS complete FROM v_objects",
     chk_required_provenance="""
 SELECT 'missing' AS violation, object_id AS subject FROM v_objects WHERE source_platform IS NULL OR source_file IS NULL OR tenant_id IS NULL OR silo_id IS NULL
@@ -79,14 +81,13 @@ SELECT (SELECT count(*) FROM v_conversations) AS conversations, (SELECT count(*)
        (SELECT count(*) FROM v_objects o WHERE NOT {DENIED}) AS objects""",
     win_message_order="SELECT message_id, row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(nullif(msg_index, 3), 0), ord) AS place FROM v_messages",
     win_evidence_ids=f"SELECT message_id, concat('ev_', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS STRING)) AS evidence_id FROM v_messages WHERE length({BARE}) > 0",
-    win_first_wins="SELECT object_id, source_platform FROM (SELECT *, row_number() OVER (PARTITION BY concat('d', CAST(ord % 500 AS STRING)) ORDER BY ord) AS n FROM v_objects) t WHERE n = 1",
+    win_first_wins="SELECT object_id, source_platform FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY again, ord) AS n FROM (SELECT object_id, ord, source_platform, 0 AS again FROM v_objects UNION ALL SELECT object_id, ord, 'again', 1 FROM v_objects WHERE ord % 3 = 0) u) t WHERE n = 1",
     win_last_wins="SELECT object_id, kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS n FROM v_sync_events WHERE kind IN ('create', 'update')) t WHERE n = 1",
     win_event_seq="SELECT doc_id, is_delete, row_number() OVER (PARTITION BY source ORDER BY is_delete, doc_id) + 100 AS seq FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS is_delete FROM documents) t",
-    win_candidate_cap="SELECT conv_id, message_id FROM (SELECT conv_id, message_id, row_number() OVER (PARTITION BY conv_id, role ORDER BY ord) AS n FROM v_messages) t WHERE n <= 2",
     win_attachment_dedup="SELECT attachment_id FROM (SELECT attachment_id, row_number() OVER (PARTITION BY conv_id, file_name ORDER BY ord) AS n FROM v_attachments) t WHERE n = 1",
     win_envelope_latest="SELECT envelope_id, revision, lag(revision) OVER (PARTITION BY status ORDER BY envelope_id) AS parent FROM v_envelopes",
     top_conversations="SELECT conv_id, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY conv_id ORDER BY chars DESC, conv_id LIMIT 10",
-    page_slice="SELECT conv_id, title, total FROM (SELECT conv_id, title, count(*) OVER () AS total, row_number() OVER (ORDER BY ord) AS n FROM v_conversations) t WHERE n BETWEEN 21 AND 40",
+    page_slice="SELECT p.conv_id, p.title, t.total FROM (SELECT conv_id, title FROM v_conversations ORDER BY ord LIMIT 20 OFFSET 20) p CROSS JOIN (SELECT count(*) AS total FROM v_conversations) t",
     sort_newest_first="SELECT conv_id, created, row_number() OVER (PARTITION BY source_platform ORDER BY coalesce(created, '') DESC, ord) AS place FROM v_conversations",
     sort_index="SELECT conv_id, row_number() OVER (PARTITION BY tenant_id ORDER BY coalesce(title, CAST(conv_id AS STRING)), ord) AS place FROM v_conversations",
     top_ready_event="SELECT object_id, event_id FROM (SELECT object_id, event_id, row_number() OVER (PARTITION BY object_id ORDER BY enqueued_at, event_id) AS n FROM v_sync_events WHERE status = 'queued' AND attempts < 5) t WHERE n = 1",
@@ -117,6 +118,13 @@ SELECT envelope_id, revision, status FROM v_envelopes UNION ALL SELECT envelope_
 )
 
 
+@R.add("win_candidate_cap")
+def _(d: Dialect) -> str:
+    """At most 50 candidates of a kind in a conversation, whose messages are its spans."""
+    found = " UNION ALL ".join(f"SELECT conv_id, ord, message_id, '{k}' AS kind FROM v_messages WHERE {d.has('lower(content)', p)}" for k, p in CANDIDATES.items())
+    return f"SELECT conv_id, kind, message_id FROM (SELECT conv_id, kind, message_id, row_number() OVER (PARTITION BY conv_id, kind ORDER BY ord) AS n FROM ({found}) c) t WHERE n <= 50"
+
+
 @R.add("flt_permissions_legacy")
 def _(d: Dialect) -> str:
     return f"""

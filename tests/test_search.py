@@ -78,3 +78,18 @@ def test_line_ends_and_blank_lines_do_not_tell_texts_apart(spark, tmp_path):
     assert sorted(x.n for x in rows("agg_fingerprint_groups")) == [1, 4]
     assert {x.conv_id: x.canonical for x in rows("win_canonical")} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
     assert len({x.normalized for x in rows("fn_normalize_text")}) == 2
+
+
+def test_caps_and_totals(spark, tmp_path):
+    talks = [(1, i, "user", f"we will see {i}") for i in range(60)] + [(i, 0, "user", f"the talk {i}") for i in range(2, 50)]
+    docs = [(i, "text", "en", "s", 0) for i in range(1200)]
+    sf = tables(spark, tmp_path, conversations=(talks, "conv_id long, turn int, role string, text string"), documents=(docs, DOCUMENTS))
+    rows = lambda key: catalog.queries()[key](spark, sf).collect()
+    assert {x.message_id for x in rows("win_candidate_cap") if x.conv_id == 1} == {f"m1_{i}" for i in range(50)}
+    first = rows("win_first_wins")
+    assert len(first) == len({x.object_id for x in first}) == 1200 and "again" not in {x.source_platform for x in first}
+    for key in ("page_slice", "flt_list_title"):
+        plan = catalog.queries()[key](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window [" not in plan
+    assert [(x.conv_id, x.total) for x in rows("page_slice")] == [(i, 53) for i in range(21, 41)]
+    assert {x.total for x in rows("flt_list_title")} == {len(rows("flt_list_title"))}
