@@ -29,12 +29,13 @@ OPEN_PIECES = 4096
 SLACK = 0.002
 #: Pieces of a group in the second round, on average.
 GROUP = 16_384
-CACHED_WORDS = 300_000
+#: Of a generation; there are two, some 200 bytes a word.
+CACHED_WORDS = 600_000
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Ids of whole texts as little-endian 32-bit bytes. Blanks and line feeds part what the tokenizer sees, so each stretch
-    between them is encoded once and remembered, in two generations of bounded size. A stretch of plain Latin letters with ASCII
+    between them is encoded once and remembered here, in two generations of bounded size. A stretch of plain Latin letters with ASCII
     marks behind is two words to the tokenizer; these go straight to its model, in the byte alphabet. All else takes the whole tokenizer."""
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -44,38 +45,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The lower-case Latin letters beyond ASCII that go to the model; a word with any other takes the whole tokenizer.
         self.latin = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x250)) if c.isalpha()}
-        self.new, self.old = {}, {}
+        self.old: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        return np.asarray([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes()
+        return b"".join([self.raw[t.id] for t in self.model.tokenize(word)])
 
     def _encode(self, part: str) -> bytes:
-        stem = part.rstrip(self.MARKS)
-        low = stem.lower()
-        if stem and stem.isalpha() and max(stem) < "\u0250" and low.isalpha() and len(low) == len(stem):
-            head = self._word(low if low.isascii() else low.translate(self.latin))
-            return head + self[part[len(stem) :]] if len(stem) < len(part) else head
-        return np.asarray(self.tokenizer.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __getitem__(self, part: str) -> bytes:
-        if (got := self.new.get(part)) is None:
-            if (got := self.old.get(part)) is None:
-                got = self._encode(part)
-            if len(self.new) >= CACHED_WORDS:
-                self.old, self.new = self.new, {}
-            self.new[part] = got
+        stem = part if part.isalpha() else part.rstrip(self.MARKS)
+        if stem and stem.isalpha():
+            if len(stem) < len(part):
+                return self[stem] + self[part[len(stem) :]]
+            low = stem.lower()
+            if stem.isascii():
+                return self._word(low) if low == stem else self[low]
+            if len(low) == len(stem) and low.isalpha() and max(low) < "\u0250" and max(stem) < "\u0250":
+                return self._word(low.translate(self.latin))
+        return b"".join([self.raw[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
+
+    def __missing__(self, part: str) -> bytes:
+        got = self.old.get(part)
+        if got is None:
+            got = self._encode(part)
+        if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[part] = got
         return got
 
     def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.new.__getitem__, parts))
-        except KeyError:
-            return b"".join(map(self.__getitem__, parts))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

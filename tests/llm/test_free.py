@@ -43,6 +43,19 @@ def test_fullest_is_exact():
         assert sum(got) == max(reach) and not Counter(got) - lengths
 
 
+def test_ids_of_every_latin_letter_and_of_mixed_texts():
+    public = pytest.importorskip("public_tokenizers")
+    own = packing.WordTokenizer(public.path("word_bpe_49k.json"))
+    whole = lambda t: np.asarray(own.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    for c in map(chr, range(0xA0, 0x300)):
+        for t in (c, f"a{c}", f"{c}li", f"Xy{c}z,"):
+            assert own(t) == whole(t), t
+    r, pool = random.Random(1), [*map(chr, range(0x20, 0x250)), *"\n\u0301\u212aß'   日\u0307"]
+    for _ in range(5000):
+        t = "".join(r.choice(pool) for _ in range(r.randint(1, 12)))
+        assert own(t) == whole(t), t
+
+
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
