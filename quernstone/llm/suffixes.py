@@ -128,9 +128,9 @@ def _windows(batches):
 
 def _window_matches(contexts: DataFrame) -> DataFrame:
     """Matches in grams of three kinds of suffixes and more."""
-    many = contexts.groupBy("gram").count().where("count > 2").select("gram")
-    windows = written(contexts.join(many.hint("shuffle_hash"), "gram").select(*COLUMNS).mapInArrow(_windows, "window long, gram long, full long, le long, lo long, hi long"))
-    shared = windows.groupBy("window").agg(F.min("lo").alias("a"), F.max("hi").alias("z")).where("a < z").select("window")
+    many = written(contexts.groupBy("gram").count().where("count > 2").select("gram"))
+    windows = written(contexts.join(many.hint("merge"), "gram").select(*COLUMNS).mapInArrow(_windows, "window long, gram long, full long, le long, lo long, hi long"))
+    shared = written(windows.groupBy("window").agg(F.min("lo").alias("a"), F.max("hi").alias("z")).where("a < z").select("window"))
     found = windows.join(shared.hint("merge"), "window")
     return found.select("gram", "full", "le", (LEAST - F.col("le")).alias("re"))
 
@@ -174,7 +174,10 @@ def _neighbours(batches):
 def _sorted_matches(contexts: DataFrame, by: list[str]) -> DataFrame:
     spark = contexts.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = contexts.repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    # Ranges are told by gram and a few words of the context beyond it, so that short samples reach the driver. The words of the
+    # gram itself begin each right context.
+    begins = {"right": F.substring("right", 4 * GRAM + 1, 16), "left": F.substring("left", 1, 16)}[by[1]]
+    placed = contexts.repartitionByRange(tasks, by[0], begins).sortWithinPartitions(*by)
     shape = "kind int, task int, gram long, full long, le long, re long, lo long, hi long, reach long, left binary, right binary"
     found = written(placed.mapInArrow(_neighbours, shape))
     # At most two rows for each task; the last of one meets the first of the next.
@@ -193,7 +196,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text")).where("doc is not null")
     rows = written(texts.mapInArrow(_suffixes, "doc long, pos int, gram long, full long, nl int, nr int, own int"))
     grams = rows.groupBy("gram").agg(F.min("doc").alias("a"), F.max("doc").alias("z"), F.min("full").alias("f"), F.max("full").alias("g"))
-    grams = grams.where("a < z").select("gram", (F.col("f") != F.col("g")).alias("mixed"))
+    # The small sides of the joins on hot keys are written: the planner may then split the other side's hot partitions.
+    grams = written(grams.where("a < z").select("gram", (F.col("f") != F.col("g")).alias("mixed")))
     kept = written(rows.join(grams.hint("merge"), "gram"))
     alike = kept.groupBy("gram", "full").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "pos")).alias("one"), F.first("nl").alias("nl"), F.first("nr").alias("nr"), F.first("own").alias("own"), F.first("mixed").alias("mixed"))
     alike = written(alike)
@@ -204,7 +208,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = written(first.select("text", "asked").mapInArrow(_contexts, CONTEXT))
     found = _sorted_matches(contexts, ["gram", "right", "left"]).unionByName(_sorted_matches(contexts, ["gram", "left", "right"]))
     whole = alike.where(f"lo < hi and nl + nr >= {LEAST}").select("gram", "full", F.col("nl").cast("long").alias("le"), F.col("nr").cast("long").alias("re"))
-    best = found.unionByName(whole).unionByName(_window_matches(contexts)).groupBy("gram", "full").agg(F.max("le").alias("le"), F.max("re").alias("re"))
+    best = written(found.unionByName(whole).unionByName(_window_matches(contexts)).groupBy("gram", "full").agg(F.max("le").alias("le"), F.max("re").alias("re")))
     spans = kept.join(best.hint("merge"), ["gram", "full"]).select("doc", (F.col("pos") - F.col("le")).alias("start"), (F.col("pos") + F.col("re")).alias("end"))
     order = Window.partitionBy("doc").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))

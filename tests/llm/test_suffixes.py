@@ -73,3 +73,21 @@ def test_near_copies_edited_at_different_places(spark):
         data.append((i, text, None, None, None, None, None, None))
     got = {(x.doc_id, x.start, x.n_words) for x in suffixes.repeated_passages(frame(spark, data)).collect()}
     assert covered(got) == covered(brute(data))
+
+
+def test_repeats_within_crowds_that_share_49_words_with_one_side(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 7)))
+    data, number = [], iter(range(10_000))
+    add = lambda w: data.append((next(number), " ".join(w), None, None, None, None, None, None))
+    some = lambda n: [word() for _ in range(n)]
+    for _ in range(60):
+        passage = some(50)
+        for _ in range(2):
+            add(some(r.randint(5, 40)) + passage + some(r.randint(5, 40)))
+        for _ in range(12):  # these lack the first or the last word
+            part = passage[1:] if r.random() < 0.5 else passage[:-1]
+            add(some(r.randint(5, 40)) + part + some(r.randint(5, 40)))
+    got = {(x.doc_id, x.start, x.n_words) for x in suffixes.repeated_passages(frame(spark, data)).collect()}
+    want = brute(data)
+    assert covered(got) == covered(want) and len({d for d, _, _ in want}) >= 120
