@@ -6,11 +6,12 @@ from ..plans.dialect import Dialect, Registry
 
 R = Registry()
 
-SHAPES = ("how", "what", "why", "when", "where", "who", "can you", "could you", "please", "help", "explain", "tell me", "i need", "i want", "write", "create", "show", "is it")
+#: Words that begin a title shaped like a conversation.
+SHAPES = ("how", "what", "why", "when", "where", "who", "can", "could", "would", "should", "is", "are", "do", "does", "did", "hey", "okay", "ok")
 
 R.plain(
     fn_multiword_marker="SELECT doc_id, CASE WHEN lower(content) LIKE '%oracle compiler%' THEN 'Oracle Compiler' END AS project FROM v_signal_text",
-    fn_scoped_id="SELECT event_id, concat(source, '|', object_id) AS scoped_id FROM v_sync_events",
+    fn_scoped_id="SELECT event_id, concat(source, '|', tenant_id, '|', silo_id, '|', object_id) AS scoped_id FROM v_sync_events",
     fn_snippet="SELECT doc_id, length(CASE WHEN length(text) > 1500 THEN concat(substring(text, 1, 1500), '... [truncated]') ELSE text END) AS body_chars, substring(text, 1, 180) AS snippet FROM documents",
     fn_backoff="SELECT event_id, attempts, CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END AS status, CAST(least(power(2, attempts), 300) AS BIGINT) AS delay_s FROM v_sync_events",
     fn_search_text="SELECT object_id, length(concat(coalesce(title, ''), ' ', coalesce(content, ''))) AS chars FROM v_objects",
@@ -58,9 +59,10 @@ SELECT doc_id, {d.has('content', '[?][ ]*$')} AS question, {d.has(x, '(we will|d
 
 @R.add("fn_conversation_shaped")
 def _(d: Dialect) -> str:
-    starts = " OR ".join(f"lower(title) LIKE '{p} %'" for p in SHAPES)
-    words = f"{d.size}({d.matches('title', '[^ ]+')})"
-    return f"SELECT object_id, coalesce(title, '') = '' OR {d.has('title', '[?]$')} OR {starts} OR {words} > 12 AS shaped FROM v_objects"
+    starts = " OR ".join(f"t LIKE '{p} %'" for p in SHAPES)
+    words = f"{d.size}({d.matches('t', r'[^\x09-\x0D\x20]+')})"
+    title = f"lower({d.strip("coalesce(title, '')")})"
+    return f"SELECT object_id, t = '' OR {d.has('t', '[?]$')} OR {starts} OR {words} > 12 AS shaped FROM (SELECT object_id, {title} AS t FROM v_objects) o"
 
 
 @R.add("fn_quality_flags")

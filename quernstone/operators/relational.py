@@ -85,7 +85,7 @@ SELECT (SELECT count(*) FROM v_conversations) AS conversations, (SELECT count(*)
     win_last_wins="SELECT object_id, kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS n FROM v_sync_events WHERE kind IN ('create', 'update')) t WHERE n = 1",
     win_event_seq="SELECT doc_id, is_delete, row_number() OVER (PARTITION BY source ORDER BY is_delete, doc_id) + 100 AS seq FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS is_delete FROM documents) t",
     win_attachment_dedup="SELECT attachment_id FROM (SELECT attachment_id, row_number() OVER (PARTITION BY conv_id, file_name ORDER BY ord) AS n FROM v_attachments) t WHERE n = 1",
-    win_envelope_latest="SELECT envelope_id, revision, lag(revision) OVER (PARTITION BY status ORDER BY envelope_id) AS parent FROM v_envelopes",
+    win_envelope_latest="SELECT envelope_id, revision, CASE WHEN revision > 1 THEN revision - 1 END AS parent FROM (SELECT *, row_number() OVER (PARTITION BY envelope_id ORDER BY revision DESC) AS n FROM v_envelopes) t WHERE n = 1",
     top_conversations="SELECT conv_id, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY conv_id ORDER BY chars DESC, conv_id LIMIT 10",
     page_slice="SELECT p.conv_id, p.title, t.total FROM (SELECT conv_id, title FROM v_conversations ORDER BY ord LIMIT 20 OFFSET 20) p CROSS JOIN (SELECT count(*) AS total FROM v_conversations) t",
     sort_newest_first="SELECT conv_id, created, row_number() OVER (PARTITION BY source_platform ORDER BY coalesce(created, '') DESC, ord) AS place FROM v_conversations",
@@ -284,7 +284,7 @@ def _(d: Dialect) -> str:
 @R.add("join_citation_verify")
 def _(d: Dialect) -> str:
     found = f"{d.each}({d.matches('content', r'\[Source ([0-9]+)\]', 1)})"
-    return f"SELECT doc_id, n, n <= '2' AS verified FROM (SELECT doc_id, {found} AS n FROM v_signal_text) c"
+    return f"SELECT doc_id, n, CAST(n AS BIGINT) <= 2 AS verified FROM (SELECT doc_id, {found} AS n FROM v_signal_text) c"
 
 
 @R.add("agg_import_manifest")
