@@ -75,7 +75,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = done.unionByName(level.where(F.col("depth") == k).select("row", "depth", "name"))
     named = rows.select("row", "id", "sha").join(done.hint("merge"), "row")
     named = written(named)
-    groups = named.groupBy("depth", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size"))
+    # Written, so that the planner may split the join where a text has very many copies.
+    groups = written(named.groupBy("depth", "name").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("group_size")))
     return named.join(groups.hint("merge"), ["depth", "name"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"), "name", "depth"
     )
