@@ -15,12 +15,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, let, text_or_empty
 
 DIMENSIONS, GRAMS, PENALTY = 4096, (3, 4, 5), 0.01
-BLOCKED_HOSTS = (
-    "spam-farm.test-a.com spammy-links.test-b.net buy-spam.test-c.org cheap-pills.test-a.net pills-online.test-b.org cheapmeds.test-c.com casino-royal.test-a.org "
-    "win-casino.test-b.com casino-win.test-c.net free-bets.test-a.com best-bets.test-b.net betsnow.test-c.org adult-x.test-a.net adult-video.test-b.org xxx-adult.test-c.com "
-    "ads-track.test-a.org adserver-track.test-b.com trackads.test-c.net poker-free.test-a.com free-money.test-b.net win-prizes.test-c.org malware-drop.test-a.org phish-login.test-b.com "
-    "replica-watches.test-c.net"
-).split()
+#: Words that block lists name, and the names made of each; the pages' own names are not among them.
+BLOCKED_WORDS = "spam pill pills casino bets betting adult xxx porn ads adserver tracker track poker jackpot lottery malware phish replica viagra payday loans prizes escort torrent warez".split()
+BLOCKED_FORMS = ("{}-online", "best-{}", "my{}", "{}shop", "{}-club")
 #: Ordinary names, among them some that hold a blocked word by chance; hosts are made of them by turns.
 ALLOWED_NAMES = (
     "riverside gardening thunder history mathematics physics library theatre northern weather thread recipes ethics station hearth another nation school breath stone "
@@ -28,14 +25,23 @@ ALLOWED_NAMES = (
     "the-garden old-town city-news long-walk open-data green-house health heating method rather athens hands handle tension station-wagon reading ocean harbour sand island "
     "kitchen painting sailing cinema museum forest village planet orchestra science teacher student journal review archive atlas bridge market street garden letters poetry"
 ).split()
-ALLOWED_HOSTS = [("", "www.", "m.", "blog.")[i % 4] + name + (".test-a.com", ".test-b.net", ".test-c.org")[i % 3] for i, name in enumerate(ALLOWED_NAMES)]
+ALLOWED_FORMS = ("{}", "{}-online", "best-{}", "my{}", "{}shop", "{}-club")
+BEFORE, BEHIND = ("", "www.", "m.", "blog."), (".test-a.com", ".test-b.net", ".test-c.org")
 PATHS = ("/en/12", "/de/7.html", "/fr/403/", "/es/88", "/", "")
 
 
+def hosts(words: list[str], forms: tuple[str, ...]) -> list[str]:
+    """Each word in each form, under the beginnings and domains by turns."""
+    names = [form.format(word) for word in words for form in forms]
+    return [BEFORE[i % 4] + name + BEHIND[i % 3] for i, name in enumerate(names)]
+
+
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, blocked: every host with each path."""
-    rows = [F.struct(F.lit(f"https://{h}{p}").alias("url"), F.lit(y).alias("blocked")) for y, hosts in ((1.0, BLOCKED_HOSTS), (0.0, ALLOWED_HOSTS)) for h in hosts for p in PATHS]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    """url, blocked: every host with each path; blocked and allowed words stand in the same forms, so that the words decide."""
+    sides = [F.struct(F.split(F.lit(" ".join(h)), " ").alias("hosts"), F.lit(y).alias("blocked")) for y, h in ((1.0, hosts(BLOCKED_WORDS, BLOCKED_FORMS)), (0.0, hosts(ALLOWED_NAMES, ALLOWED_FORMS)))]
+    rows = spark.range(1).select(F.inline(F.array(*sides))).select(F.explode("hosts").alias("host"), "blocked")
+    paths = F.explode(F.array(*map(F.lit, PATHS)))
+    return rows.select("host", "blocked", paths.alias("path")).select(F.concat(F.lit("https://"), "host", "path").alias("url"), "blocked")
 
 
 def parts(url: str | Column = "url") -> tuple[Column, Column]:
