@@ -36,8 +36,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOXIC = 0.3
 
 
+def learned_from(labels: DataFrame) -> DataFrame:
+    """Labels of toxicity that are not held out."""
+    return labels.where(remainder(4) != 2).select("doc_id", "toxic")
+
+
 def scored_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return toxicity.toxic_scores(docs, labels.where(remainder(4) != 2).select("doc_id", "toxic"))
+    return toxicity.toxic_scores(docs, learned_from(labels))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import text_or_empty
 from .quality_knn import bounded_sample
@@ -190,7 +191,21 @@ def dimension(term: str) -> int:
 
 
 def toxic_scores(docs: DataFrame, train_labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
-    """One row per row of docs: id, score. train_labels: id and label, only rows that may be learned from."""
+    """One row per row of docs: id, score. train_labels: integer id and label, only rows that may be learned from."""
+    return _scored(docs, [id_col], "score", train_labels, label_col, id_col, text_col, per_label)
+
+
+def drop_toxic(docs: DataFrame, train_labels: DataFrame, threshold: float, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_label: int = PER_LABEL) -> DataFrame:
+    """Rows of docs whose own text scores under the threshold, with all their columns. The score goes with the row, so rows
+    without an id, or of one id with unlike texts, are judged each by its text; null texts count as empty; no rows give none."""
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return _scored(docs, docs.columns, name, train_labels, label_col, id_col, text_col, per_label).where(F.col(name) < threshold).drop(name)
+
+
+def _scored(docs: DataFrame, carried: list[str], score_col: str, train_labels: DataFrame, label_col: str, id_col: str, text_col: str, per_label: int) -> DataFrame:
+    """The carried columns of every row and its score."""
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     ids = F.broadcast(bounded_sample(train_labels, label_col, per_label, id_col))  # at most 2 * per_label rows
     sample = texts.join(ids, "id").select("id", "label", "text")
@@ -220,20 +235,17 @@ def toxic_scores(docs: DataFrame, train_labels: DataFrame, label_col: str = "tox
     got = sample.select("id", "text").mapInArrow(hashed, "id long, votes array<byte>, at array<int>").toArrow().sort_by("id")
     cast = np.array(got.column("votes").to_pylist(), dtype=np.int64).reshape(-1, voters)
     linear = train_linear([x.values.to_numpy() for x in got.column("at")], model(cast))
-    if not got.num_rows:  # nothing to train on: the label model's posterior itself
-
-        def plain(batches):
-            votes = Votes(learned)
-            for b in batches:
-                cast = np.array([votes(t.as_py()) for t in b.column(1)], dtype=np.int64).reshape(-1, voters)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model(cast))], names=[id_col, "score"])
-
     shared = docs.sparkSession.sparkContext.broadcast(linear)
+    columns = carried if text_col in carried else [*carried, text_col]
+    at, trained = columns.index(text_col), got.num_rows > 0
 
     def score(batches):
-        judge = Linear(*shared.value)
+        judge = Linear(*shared.value) if trained else None
+        votes = None if trained else Votes(learned)  # nothing to train on: the label model's posterior itself
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge(t.as_py()) for t in b.column(1)], pa.float64())], names=[id_col, "score"])
+            found = [t.as_py() or "" for t in b.column(at)]
+            scores = [judge(t) for t in found] if trained else model(np.array([votes(t) for t in found], dtype=np.int64).reshape(-1, voters))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(scores, pa.float64())], names=[*carried, score_col])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(score if got.num_rows else plain, f"`{id_col}` {kind}, score double")
+    shape = StructType([*(docs.schema[c] for c in carried), StructField(score_col, DoubleType())])
+    return docs.select(*columns).mapInArrow(score, shape)
