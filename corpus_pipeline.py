@@ -5,35 +5,37 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quernstone.llm import exact, minhash, mixing, packing, queries
+from quernstone.llm import exact, minhash, mixing, queries
+from quernstone.llm import toxicity as classifier
 from quernstone.llm.common import table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is under the threshold."""
-    scored = queries.scored_toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= queries.TOXIC).select(F.col("doc_id").alias("_id"))
-    return docs.join(scored.hint("shuffle_hash"), docs["doc_id"] == scored["_id"], "left_anti")
+    """Documents whose toxicity is under the threshold, each row judged by its own text, with or without an id; null texts
+    count as empty and stay, as does everything the classifier finds clean."""
+    return classifier.drop_toxic(docs, queries.learned_from(table(spark, sf_dir, "labels")), queries.TOXIC)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal documents."""
+    """One row of each group of equal texts, that of the largest id; null and empty texts are one group, rows repeated whole
+    are one row."""
     return exact.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of similar documents."""
+    """The document of smallest id of each group of similar documents; those without words or id stay."""
     return minhash.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, at most three times; those without words go, as they add none. Rows without
+    a source are a source."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; a document taken twice is there twice."""
     return queries.packed(docs)
 
 
