@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, minhash, mixing, packing, quality_knn, quality_rules, sharding, suffixes, toxicity, url_filter
+from . import byte_bpe, centroids, exact, minhash, mixing, packing, quality_knn, quality_rules, sharding, suffixes, toxicity, url_filter, whitening
 from .common import table
 
 URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
@@ -86,7 +86,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op9_suffix_array, op10_packing)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.clustered(table(spark, sf_dir, "embeddings")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    public = importlib.import_module("public_tokenizers")
+    path = public.path("byte_bpe_multi_50k.tiktoken")
+    tokens = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), path, public.PATTERN), path)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_quality_classifier, op3_toxicity, op4_minhash, op5_mixing, op6_url_filter, op7_exact_dedup, op8_sharding, op9_suffix_array, op10_packing, op11_whitening, op12_centroid_clustering, op13_byte_bpe)}
 
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -106,3 +121,26 @@ j AS (SELECT d.*, source_size, target, epochs, floor(target - epochs * source_si
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, round(target, 3) AS target, (epochs * size + greatest(0, least(size, room)))::BIGINT AS taken FROM j""",
 }
+
+
+def _clustering_sql(k: int = 8, rounds: int = 10, size: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Assignments and moves as alternating tables, a row for each vector or centroid and component."""
+    parts = [
+        f"e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding AS v FROM embeddings WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        f"x AS MATERIALIZED (SELECT r, unnest(range({size})) AS i, CAST(floor({scale} * CAST(unnest(v) AS DOUBLE)) AS BIGINT) AS x FROM e)",
+        f"f AS (SELECT r, row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), list_transform(v, lambda c: floor({scale} * CAST(c AS DOUBLE)))) - 1 AS k FROM e WHERE vec_id IS NOT NULL QUALIFY k < {k})",
+        "c0 AS MATERIALIZED (SELECT k, i, x AS c FROM f JOIN x USING (r))",
+    ]
+    for n in range(rounds + 1):
+        near = f"SELECT r, k, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN c{n} USING (i) GROUP BY r, k"
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, k, d FROM ({near}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if n < rounds:
+            mean = f"SELECT k, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM x JOIN a{n} USING (r) GROUP BY k, i"
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT k, i, coalesce(((s - ((s % n) + n) % n) // n)::BIGINT, c) AS c FROM c{n} LEFT JOIN ({mean}) USING (k, i))")
+    parts.append(f"t AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY k)")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN e USING (r) JOIN t USING (k)"""
+
+
+ORACLES["op12_centroid_clustering"] = _clustering_sql()
