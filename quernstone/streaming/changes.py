@@ -2,47 +2,86 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.dialect import Dialect, Registry
 from ..views import VIEWS, run_sql
+from . import queue
+from .folders import shared_folder
 
 R = Registry()
 
-#: The state of an object follows from its last write, its last delete and its last valid permission change after it.
-LATEST = """
-SELECT object_id,
-       max(CASE WHEN kind IN ('create', 'update') AND text <> '' THEN event_id END) AS written,
-       max(CASE WHEN kind = 'delete' THEN event_id END) AS deleted,
-       max(CASE WHEN kind = 'permission_change' AND can_read IS NOT NULL THEN event_id END) AS permitted
-FROM v_sync_events GROUP BY object_id"""
-
 R.plain(
-    str_idempotent_ingest="SELECT DISTINCT event_id, object_id, kind FROM v_sync_events",
-    str_apply_changes=f"""
-SELECT l.object_id, l.written IS NOT NULL AND (l.deleted IS NULL OR l.written > l.deleted) AS present,
-       CASE WHEN l.permitted IS NOT NULL AND (l.deleted IS NULL OR l.permitted > l.deleted) THEN p.can_read END AS can_read
-FROM ({LATEST}) l LEFT JOIN (SELECT DISTINCT event_id, can_read FROM v_sync_events) p ON p.event_id = l.permitted""",
-    str_cursors="""
-SELECT source, tenant_id, silo_id, cursor_value FROM (SELECT *, row_number() OVER (PARTITION BY source, tenant_id, silo_id ORDER BY enqueued_at DESC, event_id DESC) AS n
-FROM v_sync_events WHERE status = 'processed' AND cursor_value IS NOT NULL) t WHERE n = 1""",
-    str_retry_dead_letter="""
-SELECT DISTINCT event_id, tenant_id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 5 THEN 'failed' ELSE 'queued' END AS status FROM v_sync_events WHERE status = 'failed'""",
     str_health="SELECT tenant_id, status, count(*) AS n FROM v_sync_events GROUP BY tenant_id, status",
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quernstone-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+@R.add("str_cursors")
+def _(d: Dialect) -> str:
+    """The cursor of the last processed event that has one. DuckDB takes it from the given events by a window, Spark by an aggregate."""
+    if d.spark:
+        return """
+SELECT source, tenant_id, silo_id, max_by(cursor_value, struct(enqueued_at, event_id)) AS cursor_value FROM v_sync_events
+WHERE status = 'processed' AND cursor_value IS NOT NULL GROUP BY source, tenant_id, silo_id"""
+    return """
+SELECT 'folder' AS source, concat('t', CAST(user_id % 3 AS VARCHAR)) AS tenant_id, concat('s', CAST(user_id % 2 AS VARCHAR)) AS silo_id, CAST(event_id AS VARCHAR) AS cursor_value
+FROM events WHERE event_id % 10 >= 3 AND event_type <> 'error' QUALIFY row_number() OVER (PARTITION BY user_id % 3, user_id % 2 ORDER BY ts DESC, event_id DESC) = 1"""
+
+
+def fold_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change log folded in one job: the last write, delete and permission change of each object."""
+    events = queue.lanes(run_sql(spark, sf_dir, "SELECT * FROM v_sync_events"))
+    of = lambda lane, what: F.max_by(F.when(F.col("lane") == lane, F.col(what)), F.when(F.col("lane") == lane, F.col("event_id")))
+    at = lambda lane: F.max(F.when(F.col("lane") == lane, F.col("event_id"))).alias(lane)
+    state = events.groupBy(*queue.SCOPE).agg(at("written"), at("deleted"), at("permitted"), of("written", "text").alias("text"), of("permitted", "can_read").alias("can_read"))
+    return queue.living(state)
+
+
+def fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream over the log in three parts, which come out of order, and a replay of one of them."""
+    folder = shared_folder(spark)
+    for part in (1, 0, 2, 1):
+        chosen = run_sql(spark, sf_dir, f"SELECT event_id, kind, text, can_read, {', '.join(queue.SCOPE)} FROM v_sync_events WHERE event_id % 3 = {part}")
+        chosen.write.mode("append").parquet(f"{folder}/in")
+        queue.fold_changes(queue.files(spark, f"{folder}/in", queue.EVENT), folder)
+    return queue.folded(spark, folder)
+
+
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is delivered once, then some again, in a later batch; which deliveries were new."""
+    folder, shape = shared_folder(spark), "event_id long, object_id string, occurred_at timestamp, delivery int"
+    for delivery, chosen in enumerate(("true", "event_id % 20 = 0")):
+        sql = f"SELECT event_id, concat('u', CAST(user_id AS STRING)) AS object_id, CAST(ts AS TIMESTAMP) AS occurred_at, {delivery} AS delivery FROM events WHERE {chosen}"
+        run_sql(spark, sf_dir, sql).write.mode("append").parquet(f"{folder}/in")
+        queue.ingest(queue.files(spark, f"{folder}/in", shape), folder)
+    return queue.delivered(spark, folder, shape).select("event_id", "delivery", "is_new")
+
+
+def retry_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed events are tried until they succeed, which they do after so many failures as their number's rest by 8, or are dead; the clock
+    goes on by the longest wait between two passes."""
+    folder, shape, now = shared_folder(spark), "event_id long, tenant_id string", [0]
+    items = run_sql(spark, sf_dir, "SELECT event_id, concat('t', CAST(user_id % 3 AS STRING)) AS tenant_id FROM events WHERE event_id % 10 = 0")
+    queue.enqueue(items, folder)
+    for _ in range(queue.MAX_ATTEMPTS):
+        queue.attempt(spark, folder, shape, F.col("attempts") >= F.col("event_id") % 8, lambda: now[0])
+        now[0] += queue.LONGEST_WAIT_S
+    return queue.status(spark, folder, shape)
+
+
+#: What becomes of an object, from the given events: DuckDB orders each object's changes and takes the last of each kind.
+FOLDED = """
+SELECT concat('u', CAST(user_id AS VARCHAR)) AS object_id, w IS NOT NULL AND (d IS NULL OR w > d) AS present,
+       CASE WHEN w IS NOT NULL AND (d IS NULL OR w > d) THEN concat('text_', substring(sha256(t), 1, 16)) END AS content_id, CASE WHEN p IS NOT NULL AND (d IS NULL OR p > d) THEN c END AS can_read
+FROM (SELECT user_id, max(event_id) FILTER (wrote) AS w, arg_max(props, event_id) FILTER (wrote) AS t, max(event_id) FILTER (event_type = 'error' OR event_type NOT IN ('signup', 'view', 'click', 'purchase')) AS d,
+             max(event_id) FILTER (allowed) AS p, arg_max(value > 10, event_id) FILTER (allowed) AS c
+      FROM (SELECT *, event_type IN ('signup', 'view', 'click') AND event_id % 29 <> 0 AND coalesce(props, '') <> '' AS wrote, event_type = 'purchase' AND event_id % 17 <> 0 AND value IS NOT NULL AS allowed FROM events) e GROUP BY user_id) f"""
+DELIVERED = "SELECT event_id, 0 AS delivery, true AS is_new FROM events UNION ALL SELECT event_id, 1, false FROM events WHERE event_id % 20 = 0"
+RETRIED = """
+SELECT event_id, CAST(least(event_id % 8 + 1, 5) AS INTEGER) AS attempts, CAST([0, 2, 6, 14, 30][least(event_id % 8, 4) + 1] AS BIGINT) AS waited_s, CASE WHEN event_id % 8 >= 5 THEN 'failed' ELSE 'processed' END AS status
+FROM events WHERE event_id % 10 = 0"""
+R.plain(str_apply_changes=FOLDED, str_live_changes=FOLDED, str_idempotent_ingest=DELIVERED, str_retry_dead_letter=RETRIED)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +110,37 @@ def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(event_stream(spark, sf_dir).groupBy("tenant_id", "status").agg(F.count("*").alias("n")), "complete")
 
 
+GAP_S = 1800
+
+
+def sessions(events: DataFrame, gap_s: int = GAP_S, delay: str = "1 hour") -> DataFrame:
+    """Closed sessions of a stream of object_id and `at`: a gap over gap_s parts them, one of just that length does not."""
+    counted = events.withWatermark("at", delay).groupBy("object_id", F.session_window("at", f"{gap_s} seconds")).agg(F.count("*").alias("records"))
+    return counted.select("object_id", F.unix_micros("session_window.start").alias("first_us"), "records")
+
+
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions per user of an event-time stream; a gap over half an hour parts them."""
-    events = event_stream(spark, sf_dir).withColumn("at", F.col("enqueued_at").cast("timestamp")).withWatermark("at", "1 hour")
-    counted = events.groupBy("object_id", F.session_window("at", "1800 seconds")).agg(F.count("*").alias("records"))
-    return drained(counted.select("object_id", F.unix_micros("session_window.start").alias("first_us"), "records"), "complete")
+    """Sessions per user of an event-time stream, each sent once, when the watermark has passed its end; their state goes then. At the
+    end of the given events one more, far later and of nobody, closes those that are still open."""
+    folder, shape = shared_folder(spark), "object_id string, at timestamp"
+    last = run_sql(spark, sf_dir, "SELECT max(CAST(ts AS TIMESTAMP)) AS at FROM events")
+    events = event_stream(spark, sf_dir).select("object_id", F.col("enqueued_at").cast("timestamp").alias("at"))
+    last.where("false").select(F.lit("").alias("object_id"), "at").write.parquet(f"{folder}/closing")
+    closing = queue.files(spark, f"{folder}/closing", shape)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    for _ in range(2):
+        queue.drain(sessions(events.unionByName(closing)), folder, keep)
+        last.select(F.lit("nobody").alias("object_id"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at")).write.mode("append").parquet(f"{folder}/closing")
+    return spark.read.schema("object_id string, first_us long, records long").parquet(f"{folder}/out").where("object_id <> 'nobody'")
 
 
-STREAMS = {"str_live_health": stream_health, "str_sessionize": stream_sessions}
+STREAMS = {
+    "str_live_health": stream_health, "str_sessionize": stream_sessions, "str_apply_changes": fold_batch, "str_live_changes": fold_stream,
+    "str_idempotent_ingest": ingest_stream, "str_retry_dead_letter": retry_stream,
+}
 
 
 @R.add("str_live_health")
@@ -88,11 +150,12 @@ def _(d: Dialect) -> str:
 
 @R.add("str_sessionize")
 def _(d: Dialect) -> str:
+    """A record belongs to the session before it if it comes at most half an hour later."""
     t = d.micros("ts")
     return f"""
 SELECT concat('u', CAST(user_id AS STRING)) AS object_id, min(t) AS first_us, count(*) AS records FROM
 (SELECT user_id, t, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM
-(SELECT user_id, event_id, {t} AS t, CASE WHEN {t} - lag({t}) OVER (PARTITION BY user_id ORDER BY {t}, event_id) < 1800000000 THEN 0 ELSE 1 END AS opens FROM events) a) b GROUP BY user_id, s"""
+(SELECT user_id, event_id, {t} AS t, CASE WHEN {t} - lag({t}) OVER (PARTITION BY user_id ORDER BY {t}, event_id) <= 1800000000 THEN 0 ELSE 1 END AS opens FROM events) a) b GROUP BY user_id, s"""
 
 
 def sync_folder(listing: DataFrame, cursor: DataFrame | None) -> DataFrame:
