@@ -38,6 +38,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind as make it unlike all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Only a local master may fall back to a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""

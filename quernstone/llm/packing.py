@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import free_name, text_or_empty, written
 
 CAPACITY = 2048
 #: So many pieces are open at least while a task still has documents.
@@ -59,14 +59,15 @@ class WordTokenizer(dict):
 
     def _encode(self, part: str) -> bytes:
         stem = part if part.isalpha() else part.rstrip(self.MARKS)
-        if stem and stem.isalpha():
+        low = stem.lower()
+        # Only a stem that stays as long and plain Latin in lower case can be parted from its marks; what a letter such as the capital I
+        # with a dot leaves behind in lower case would go with the mark.
+        if stem.isalpha() and (stem.isascii() or (len(low) == len(stem) and low.isalpha() and max(low) < "\u0250" and max(stem) < "\u0250")):
             if len(stem) < len(part):
                 return self[stem] + self[part[len(stem) :]]
-            low = stem.lower()
             if stem.isascii():
                 return self._word(low) if low == stem else self[low]
-            if len(low) == len(stem) and low.isalpha() and max(low) < "\u0250" and max(stem) < "\u0250":
-                return self._word(low.translate(self.latin))
+            return self._word(low.translate(self.latin))
         return b"".join([self.raw[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
 
     def __missing__(self, part: str) -> bytes:
@@ -198,9 +199,11 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (any columns, among them length) with sequence_id and offset: no sequence is longer than capacity, its pieces
-    follow each other from offset 0. The pieces are written once; only their numbers and lengths are packed."""
-    kept = written(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    """pieces (any columns, among them length) with sequence_id and offset, which replace given ones: no sequence is longer than
+    capacity, its pieces follow each other from offset 0. The pieces are written once; only their numbers and lengths are packed."""
+    pieces = pieces.drop("sequence_id", "offset")
+    row = free_name(pieces.columns, "_row")
+    kept = written(pieces.withColumn(row, F.monotonically_increasing_id()))
 
     def near(batches):
         def items():
@@ -212,7 +215,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = ["_row", "_length", "sequence_id", "offset", "slack"]
     types = [pa.int64()] * 5
     shape = ", ".join(f"{x} long" for x in names)
-    first = written(kept.select("_row", "length").mapInArrow(near, shape))
+    first = written(kept.select(row, "length").mapInArrow(near, shape))
     loose = first.where(F.col("slack") > SLACK * capacity)
     groups = max(1, round(loose.count() / GROUP))
 
@@ -223,7 +226,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     second = loose.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInArrow(again, shape)
     placed = first.where(F.col("slack") <= SLACK * capacity).unionByName(second).select("_row", "sequence_id", "offset")
-    return kept.join(placed.hint("shuffle_hash"), "_row").drop("_row")
+    return kept.join(placed.withColumnRenamed("_row", row).hint("shuffle_hash"), row).drop(row)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -50,12 +50,24 @@ def test_ids_of_every_latin_letter_and_of_mixed_texts():
     for c in map(chr, range(0xA0, 0x300)):
         for t in (c, f"a{c}", f"{c}li", f"Xy{c}z,"):
             assert own(t) == whole(t), t
-    r, pool = random.Random(1), [*map(chr, range(0x20, 0x250)), *"\n\u0301\u212aß'   日\u0307"]
-    for _ in range(5000):
+        for mark in filter(lambda m: not m.isalnum(), map(chr, range(0x21, 0x7F))):
+            for t in (c + mark, f"GEZ{c}{mark}", f"{c}{mark}{mark}x"):
+                assert own(t) == whole(t), t
+    for t in ("GEZİ,", "SERGİ.", "İ!", "İİ?!", "ΟΔΟΣ,", "ŉ.", "ǰ,", "ẞ!", "Kelvin\u212a."):
+        assert own(t) == whole(t), t
+    r, pool = random.Random(1), [*map(chr, range(0x20, 0x250)), *"\n\u0301\u212aß'   日\u0307İİİ,.!"]
+    for _ in range(20000):
         t = "".join(r.choice(pool) for _ in range(r.randint(1, 12)))
         assert own(t) == whole(t), t
 
 
+def test_columns_of_its_own(spark):
+    pieces = spark.createDataFrame([(i, 7, "x", 100 + i, 3, 4) for i in range(9)], "doc_id long, _row int, slack string, length long, offset int, sequence_id int")
+    got = packing.pack_pieces(pieces, 256)
+    assert sorted(got.columns) == sorted(pieces.columns) and got.where("_row = 7 and slack = 'x'").count() == 9
+    assert got.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 256").count() == 0
+
+
 def test_packing(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
