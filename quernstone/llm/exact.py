@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, written
+from .common import ascii_lower, free_name, let, written
 
 #: Names are given within so many ranges of the sort key, so that no task sorts all of them.
 NAME_RANGES = 4096
@@ -84,8 +84,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, the one that exact_dedup keeps; all columns stay."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(text_col), 256)
-    own = docs.withColumn("_own_sha", sha)
-    held = own.join(kept.hint("shuffle_hash"), own[id_col].eqNullSafe(kept["_id"]) & (own["_own_sha"] == kept["_sha"]), "left_semi")
-    return held.dropDuplicates([id_col, "_own_sha"]).drop("_own_sha")
+    key, sha = free_name([*docs.columns, "_sha"], "_own_sha"), F.sha2(ascii_lower(text_col), 256)
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(f"{key}id"), F.col("text_sha256").alias(f"{key}kept"))
+    own = docs.withColumn(key, sha)
+    held = own.join(kept.hint("shuffle_hash"), own[id_col].eqNullSafe(kept[f"{key}id"]) & (own[key] == kept[f"{key}kept"]), "left_semi")
+    return held.dropDuplicates([id_col, key]).drop(key)

@@ -1,6 +1,6 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-Documents with equal shingle sets are one class. Each class posts its id under every (coordinate, value) pair of its
+Documents with equal shingle sets are one class with a number. Each class posts its number under every (coordinate, value) pair of its
 signature. Values that only one class has cannot collide; a class is active if enough of its values are shared. Of two
 classes with at least MATCHES equal coordinates, both have one of these among their first COORDINATES - MATCHES + 1 in
 the order of rarity, so only this prefix is merged. Merging goes in three steps, each over what is not connected yet:
@@ -10,8 +10,9 @@ the lists propose the pairs left between different components. Lists are merged
 holds a whole long list. Every link is confirmed on the full shingle sets, and only confirmed ones join components.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words are one
-shingle; equal rows are in one class; rows without an id get no component; no rows give no rows. Shingles are told by
-64-bit hashes of their words.
+shingle; equal rows are in one class; each row is judged by its own text, so that rows of one id may be in several components;
+rows without an id get no component; ids may be of any type that can be sorted; no rows give no rows. Shingles are told by
+64-bit hashes of their words. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import WORD, free_name, text_or_empty, written
 
 WIDTH, COORDINATES, MATCHES = 5, 128, 80
 SIMILAR = (75, 100)
@@ -81,14 +82,14 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def _sketch(batches):
     for b in batches:
-        ids, texts = b.column(0), b.column(1).cast(pa.binary())
+        ids, text_key, texts = b.column(0), b.column(1), b.column(2).cast(pa.binary())
         n, key, sig = [], [], []
         for t in texts:
             s = shingles(word_hashes(t.as_py()))
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "set_key", "sig"])
+        yield pa.RecordBatch.from_arrays([ids, text_key, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], names=["id", "text_key", "n", "set_key", "sig"])
 
 
 def _sets(batches):
@@ -223,10 +224,18 @@ def _open(active: DataFrame, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable over links), kept (id = component_id)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    sketched = written(rows.mapInArrow(_sketch, "id long, n long, set_key binary, sig binary"))
+    return _judged(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: id, text_key, n, component_id, keep_key (of the text of smallest key among those of the component's
+    smallest id)."""
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text).alias("text_key"), text.alias("text"))
+    sketched = written(rows.mapInArrow(_sketch, f"id {docs.schema[id_col].dataType.simpleString()}, text_key string, n long, set_key binary, sig binary"))
     usable = sketched.where("n > 0 and id is not null")
-    classes = written(usable.groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")).drop("set_key"))
+    classes = usable.groupBy("set_key").agg(F.min(F.struct("id", "text_key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()))
 
     # One shuffle of the postings gives the frequency of each value; those of a single class go.
     posted = classes.select("id", "sig").mapInArrow(_postings, "id long, token long")
@@ -238,7 +247,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = active.withColumn("prefix", F.slice("values", 1, length)).select("id", "n", "sig", "central", F.transform("prefix", lambda x: x["token"]).alias("tokens"))
     active = written(active.mapInArrow(_with_prefix, "id long, n long, sig binary, central long, tokens array<long>, prefix binary"))
 
-    texts = rows.join(active.select("id").hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"])
+    # A class's set comes from the text that stands for it.
+    wanted = classes.join(active.select("id").hint("shuffle_hash"), "id", "left_semi").select(F.col("id").alias("number"), F.col("least.id").alias("least_id"), F.col("least.text_key").alias("least_key"))
+    texts = rows.join(wanted.hint("shuffle_hash"), (F.col("id") == F.col("least_id")) & (F.col("text_key") == F.col("least_key")))
+    texts = texts.select(F.col("number").alias("id"), "least_id", "least_key", "text").dropDuplicates(["least_id", "least_key"]).select("id", "text")
     sets = written(texts.mapInArrow(_sets, "id long, shingles array<long>"))
 
     # Every member of a posting list with its most central one.
@@ -267,11 +279,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fresh = written(found.join(pairs.hint("shuffle_hash"), ["a", "b"], "left_anti"))
     links = links.unionByName(written(_confirmed(fresh, sets)))
     parts = components(links)
-    named = usable.select("set_key", "id").join(classes.select(F.col("id").alias("node_id")).hint("merge"), F.col("id") == F.col("node_id"))
-    named = named.join(parts.hint("merge"), F.col("node_id") == F.col("node"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "node_id").alias("component"))
-    out = sketched.join(named.dropDuplicates(["k"]).hint("merge"), F.col("set_key") == F.col("k"), "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    named = classes.select("set_key", "least", "id").join(parts.hint("merge"), F.col("id") == F.col("node"), "left").select("set_key", "least", F.coalesce("component", "id").alias("component"))
+    named = written(named)
+    # Written, so that the planner may split the join where a component has very many classes.
+    smallest = written(named.groupBy("component").agg(F.min("least").alias("keep")))
+    named = written(named.join(smallest.hint("merge"), "component").select(F.col("set_key").alias("k"), "keep"))
+    out = sketched.join(named.hint("merge"), F.col("set_key") == F.col("k"), "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("keep.id", "id"))
+    return out.select("id", "text_key", "n", component.alias("component_id"), F.col("keep.text_key").alias("keep_key"))
+
+
+def text_key(text):
+    return F.md5(text.cast("binary"))
 
 
 def _with_prefix(batches):
@@ -292,6 +311,15 @@ def _enough(batches):
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of smallest id of each component; documents without shingles or id stay; all columns stay."""
-    lost = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id"))
-    return docs.join(lost.hint("shuffle_hash"), docs[id_col] == lost["_id"], "left_anti")
+    """docs with one row of each component: that of the smallest id, and where this id has several such texts, that of the smallest
+    digest. Rows without shingles or id stay, as do all columns."""
+    lost = _judged(docs, id_col, text_col).where("n > 0 and id is not null and not (id <=> component_id and text_key <=> keep_key)")
+    lost = lost.select(F.col("id").alias("lost_id"), F.col("text_key").alias("lost_key")).distinct()
+    key = free_name([*docs.columns, "lost_id", "lost_key"], "text_key")
+    alone = free_name([*docs.columns, "lost_id", "lost_key", key], "alone")
+    own = docs.withColumn(key, text_key(text_or_empty(text_col)))
+    # A number of its own for each row that no other can be a copy of; all others count by id and text.
+    free = F.col(id_col).isNull() | ~text_or_empty(text_col).rlike(WORD)
+    own = own.withColumn(alone, F.when(free, F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    held = own.join(lost.hint("shuffle_hash"), (own[id_col] == lost["lost_id"]) & (own[key] == lost["lost_key"]), "left_anti")
+    return held.dropDuplicates([id_col, key, alone]).drop(key, alone)

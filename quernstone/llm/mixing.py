@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import free_name, word_count, written
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 
 
-def random_key(id_col, seed: str = SEED):
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+def random_key(id_col, seed: str = SEED, row_col: str | None = None):
+    """Of the id; of the number of the row, if there is one, where the id is null, so that such rows do not share one key."""
+    instead = F.concat(F.lit("null-"), F.col(row_col).cast("string")) if row_col else F.lit("null")
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), instead)))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -40,9 +42,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return s.select("source", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """One row per row of docs: id, source, size, source_size, target, epochs (whole ones), taken (words, repeats counted)."""
-    rows = written(docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"), random_key(id_col, seed).alias("key")))
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row_col: str | None = None) -> DataFrame:
+    """One row per row of docs: id (and row_col, a number of the row, if given), source, size, source_size, target, epochs (whole ones),
+    taken (words, repeats counted)."""
+    ids = [id_col, row_col] if row_col else [id_col]
+    rows = written(docs.select(*ids, F.col(source_col).alias("source"), word_count(text_col).alias("size"), random_key(id_col, seed, row_col).alias("key")))
     # Three hex digits of the key: 4096 ranges of it for each source.
     rows = rows.withColumn("range", F.substring("key", 1, 3))
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -54,16 +58,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     goal = goal.withColumn("rest", F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 1e-6))
     starts = ranges.join(goal.hint("shuffle_hash"), ranges["source"].eqNullSafe(goal["source"])).select(ranges["source"].alias("s"), F.col("range").alias("r"), "start", "source_size", "target", "epochs", "rest")
     joined = rows.join(starts.hint("shuffle_hash"), rows["source"].eqNullSafe(starts["s"]) & (rows["range"] == starts["r"]))
-    within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "size", *ids[1:]).rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - at))
-    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).select(id_col, "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "taken")
+    return joined.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long")).select(*ids, "source", "size", "source_size", "target", F.col("epochs").cast("int").alias("epochs"), "taken")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs as the mix has them: a row for each time that a document is taken, with all its columns and whole text. The
-    document at the cut of a source's budget is there once more if at least half its words are within; empty ones never."""
-    taken = mix_sources(docs, id_col, source_col, text_col).where("size > 0")
-    times = taken.select(F.col(id_col).alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0").dropDuplicates(["_id"])
-    joined = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(times["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    document at the cut of a source's budget is there once more if at least half its words are within; empty ones never.
+    Each row is counted for itself, also among rows of one id or none; docs are written once, with numbers for their rows."""
+    row = free_name([*docs.columns, "source", "size", "key", "range"], "_row")
+    times, copy = free_name([*docs.columns, row], "_times"), free_name([*docs.columns, row], "_copy")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix_sources(held, id_col, source_col, text_col, row_col=row).where("size > 0")
+    taken = taken.select(row, F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = held.join(taken.hint("shuffle_hash"), row)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

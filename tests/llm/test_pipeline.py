@@ -102,3 +102,20 @@ def test_empty_tables(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_columns_of_every_name_and_rows_of_one_id(spark):
+    """Stages keep given columns whose names they might use themselves, and judge each row by its own text."""
+    odd = ["_id", "_times", "_copy", "_own_sha", "_row", "_own_shaid", "_own_shakept", "key", "range", "size", "alone", "lost_id", "text_key"]
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    data = [(1, prose(1), "s"), (2, prose(1) + " tail", "s"), (2, prose(2), "s"), (None, prose(3), "s"), (None, prose(4), "s"), (2, prose(5), "s"), (5, prose(1), "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for k, name in enumerate(odd):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in pipeline.STAGES[1:-1]:
+        before, docs = docs, pipeline.written(stage(spark, docs, ""))
+        assert docs.columns == before.columns
+        assert docs.select(*odd).distinct().collect() == [tuple(range(len(odd)))]
+    # Document 1 goes as an exact copy of 5, that as a near copy of a row of id 2, whose other rows stay.
+    got = Counter(r.text for r in docs.collect())
+    assert got == Counter([prose(1) + " tail", *map(prose, (2, 3, 4, 5))])
