@@ -119,32 +119,6 @@ SELECT q.item_id, o.doc_id, CAST(sum(o.n) AS BIGINT) AS hits FROM (SELECT DISTIN
 JOIN (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, {d.each}({terms}) AS term FROM documents) t GROUP BY doc_id, term) o ON o.term = q.term GROUP BY q.item_id, o.doc_id"""
 
 
-@R.add("qry_weighted_search")
-def _(d: Dialect) -> str:
-    """Object titles and contents and conversation titles that hold one of three query tokens, by weights."""
-    tokens = ("the", "der", "que")
-    score = lambda x, w: " + ".join(f"CASE WHEN lower(coalesce({x}, '')) LIKE '%{t}%' THEN {w} ELSE 0 END" for t in tokens)
-    return f"""
-SELECT type, id, score FROM (SELECT 'object' AS type, object_id AS id, {score('title', 3)} + {score('content', 1)} AS score FROM v_objects
-UNION ALL SELECT 'conversation', CAST(conv_id AS STRING), {score('title', 2)} FROM v_conversations
-UNION ALL SELECT 'attachment', attachment_id, {score('file_name', 2)} FROM v_attachments) s WHERE score > 0"""
-
-
-@R.add("set_search_union")
-def _(d: Dialect) -> str:
-    return R["qry_weighted_search"](d)
-
-
-@R.add("agg_search_tabs")
-def _(d: Dialect) -> str:
-    return f"SELECT type, count(*) AS n FROM ({R['qry_weighted_search'](d)}) s GROUP BY type"
-
-
-@R.add("top_context")
-def _(d: Dialect) -> str:
-    return f"SELECT type, id, score, place FROM (SELECT type, id, score, row_number() OVER (PARTITION BY type ORDER BY score DESC, id) AS place FROM ({R['qry_weighted_search'](d)}) s) t WHERE place <= 6"
-
-
 def chunks(d: Dialect, size: int = 500, overlap: int = 100) -> str:
     """Word chunks with overlap: as many starts, a step apart, as the text needs to reach its last word."""
     step = size - overlap
@@ -155,7 +129,7 @@ def chunks(d: Dialect, size: int = 500, overlap: int = 100) -> str:
     return f"SELECT object_id, ord, tenant_id, silo_id, source_platform, CAST(k AS INT) AS k, {piece} AS body FROM (SELECT *, {d.each}({numbers}) AS k FROM (SELECT *, {d.size}(w) AS n FROM (SELECT object_id, ord, tenant_id, silo_id, source_platform, {words} AS w FROM v_objects) a) b WHERE n > 0) c"
 
 
-@R.add("fn_chunk_words")
+@R.add("fn_word_chunks")
 def _(d: Dialect) -> str:
     return f"SELECT concat(object_id, '_chunk_', CAST(k AS STRING)) AS chunk_id, {d.sha('body')} AS body FROM ({chunks(d)}) c"
 

@@ -10,7 +10,6 @@ R = Registry()
 SHAPES = ("how", "what", "why", "when", "where", "who", "can", "could", "would", "should", "is", "are", "do", "does", "did", "hey", "okay", "ok")
 
 R.plain(
-    fn_multiword_marker="SELECT doc_id, CASE WHEN lower(content) LIKE '%oracle compiler%' THEN 'Oracle Compiler' END AS project FROM v_signal_text",
     fn_scoped_id="SELECT event_id, concat(source, '|', tenant_id, '|', silo_id, '|', object_id) AS scoped_id FROM v_sync_events",
     fn_snippet="SELECT doc_id, length(CASE WHEN length(text) > 1500 THEN concat(substring(text, 1, 1500), '... [truncated]') ELSE text END) AS body_chars, substring(text, 1, 180) AS snippet FROM documents",
     fn_backoff="SELECT event_id, attempts, CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END AS status, CAST(least(power(2, attempts), 300) AS BIGINT) AS delay_s FROM v_sync_events",
@@ -25,16 +24,6 @@ def _(d: Dialect) -> str:
     return f"SELECT doc_id, {d.sha(d.normalized('text'))} AS normalized FROM documents"
 
 
-@R.add("fn_regex_index_terms")
-def _(d: Dialect) -> str:
-    return f"SELECT DISTINCT doc_id, {d.each}({d.matches('content', r'https?://[^ ]+')}) AS url FROM v_signal_text"
-
-
-@R.add("fn_regex_v2")
-def _(d: Dialect) -> str:
-    return f"SELECT DISTINCT doc_id, {d.each}({d.matches('text', r'[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}')}) AS email FROM documents"
-
-
 @R.add("fn_words")
 def _(d: Dialect) -> str:
     return f"SELECT message_id, {d.size}({d.words('content')}) AS n_words FROM v_messages"
@@ -45,11 +34,6 @@ def _(d: Dialect) -> str:
     return f"SELECT object_id, {d.size}({d.tokens('content')}) AS n_tokens FROM v_objects"
 
 
-@R.add("fn_temporal_signals")
-def _(d: Dialect) -> str:
-    return f"SELECT doc_id, {d.joined_set('day')} AS days FROM (SELECT doc_id, {d.each}({d.matches('content', '[0-9]{4}-[0-9]{2}-[0-9]{2}')}) AS day FROM v_signal_text) t GROUP BY doc_id"
-
-
 @R.add("fn_candidates")
 def _(d: Dialect) -> str:
     x = "lower(content)"
@@ -87,11 +71,6 @@ def _(d: Dialect) -> str:
     return f"SELECT p_partkey, coalesce(nullif({clean}, ''), 'topic') AS name FROM part"
 
 
-@R.add("fn_display_name")
-def _(d: Dialect) -> str:
-    return "SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN 'B-11' ELSE concat(upper(substring(p_type, 1, 1)), substring(lower(p_type), 2)) END AS display FROM part"
-
-
 @R.add("fn_citation_indexes")
 def _(d: Dialect) -> str:
     return f"SELECT DISTINCT doc_id, CAST(n AS INT) AS n FROM (SELECT doc_id, {d.each}({d.matches('content', r'\[Source ([0-9]+)\]', 1)}) AS n FROM v_signal_text) c"

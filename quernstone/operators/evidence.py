@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from ..plans.dialect import Dialect, Registry
 from .relational import R as RELATIONAL
-from .relational import index
 
 R = Registry()
 
-#: Terms of one word; they are matched as whole words, whatever their case.
-TERMS = ("python", "docker", "react", "go", "google", "oracle")
-WORD = r"[\p{L}\p{N}_]+"
-URL, EMAIL = r"https?://[-a-zA-Z0-9_.]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}"
 #: Limits of the health report, in seconds and events.
 OLD_S, LAG_S, WAITING = 600, 300, 5
 
@@ -74,31 +69,6 @@ ANTI JOIN (SELECT object_id, CAST(row_number() OVER (PARTITION BY object_id ORDE
 UNION ALL SELECT doc_id, 'missing evidence' FROM v_signal_text WHERE {d.size}({refs}) = 0"""
 
 
-def gazetteer(d: Dialect) -> str:
-    """Text and term once for every term that stands in a text as a whole word. Words meet terms as equal values; a term that
-    ends in signs is searched for, and has its end only before a letter or digit."""
-    listed = ", ".join(f"'{t}'" for t in TERMS)
-    return f"""
-SELECT doc_id, token AS term FROM (SELECT DISTINCT doc_id, {d.each}({d.matches('lower(content)', WORD)}) AS token FROM v_signal_text) t WHERE token IN ({listed})
-UNION ALL SELECT doc_id, 'c++' FROM v_signal_text WHERE {d.has('lower(content)', r'(^|[^\p{L}\p{N}_])c[+][+][\p{L}\p{N}_]')}"""
-
-
-@R.add("join_gazetteer")
-def _(d: Dialect) -> str:
-    return gazetteer(d)
-
-
-@R.add("set_entity_union")
-def _(d: Dialect) -> str:
-    found = " UNION ALL ".join(f"SELECT doc_id, {d.each}({d.matches('content', p)}) AS term FROM v_signal_text" for p in (URL, EMAIL))
-    return f"SELECT doc_id, {d.joined_set('term')} AS entities FROM (SELECT doc_id, lang AS term FROM documents UNION ALL {gazetteer(d)} UNION ALL {found}) e GROUP BY doc_id"
-
-
-@R.add("top_topics")
-def _(d: Dialect) -> str:
-    return f"SELECT concat(upper(substring(token, 1, 1)), substring(token, 2)) AS topic, count(DISTINCT conv_id) AS n FROM ({index(d)}) i GROUP BY token HAVING count(DISTINCT conv_id) >= 2 ORDER BY n DESC, topic"
-
-
 @R.add("src_detect_platform_v2")
 def _(d: Dialect) -> str:
     """By the file's name first, then by the client that the document names."""

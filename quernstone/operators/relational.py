@@ -138,92 +138,12 @@ def _(d: Dialect) -> str:
     return f"SELECT ord, prompt FROM (SELECT ord, {body} AS prompt FROM v_activity) t WHERE prompt <> ''"
 
 
-def entities(d: Dialect) -> str:
-    """One row per occurrence of a URL, address, date or file name."""
-    kinds = {"url": r"https?://[-a-zA-Z0-9_.]+", "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}", "date": r"[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "file": r"[a-zA-Z0-9_-]+[.](?:py|md|txt|json|csv)"}
-    return " UNION ALL ".join(f"SELECT doc_id, doc_id % 100 AS conv_id, '{k}' AS type, {d.each}({d.matches('content', p)}) AS value FROM v_signal_text" for k, p in kinds.items())
-
-
-@R.add("fn_regex_entities")
-def _(d: Dialect) -> str:
-    return entities(d)
-
-
-@R.add("flt_browse_entities")
-def _(d: Dialect) -> str:
-    return f"SELECT type, value FROM ({entities(d)}) e WHERE type = 'url' AND (lower(value) LIKE '%ex3%' OR CAST(conv_id AS {d.text}) LIKE '%ex3%')"
-
-
-@R.add("join_entities_per_conv")
-def _(d: Dialect) -> str:
-    return f"SELECT c.conv_id, {d.joined_set('e.value')} AS entity_values FROM v_conversations c JOIN ({entities(d)}) e ON e.conv_id = c.conv_id GROUP BY c.conv_id"
-
-
-@R.add("join_entity_denorm")
-def _(d: Dialect) -> str:
-    return f"SELECT e.doc_id, e.type, e.value, c.source_platform, c.source FROM ({entities(d)}) e LEFT JOIN v_conversations c ON c.conv_id = e.conv_id"
-
-
-@R.add("agg_entity_counts")
-def _(d: Dialect) -> str:
-    return f"SELECT type, value, count(*) AS n FROM ({entities(d)}) e GROUP BY type, value"
-
-
-@R.add("top_entities")
-def _(d: Dialect) -> str:
-    return f"SELECT type, value, n FROM (SELECT type, value, n, row_number() OVER (PARTITION BY type ORDER BY n DESC, value) AS k FROM (SELECT type, value, count(*) AS n FROM ({entities(d)}) e GROUP BY type, value) c) t WHERE k <= 25"
-
-
 @R.add("agg_inventory")
 def _(d: Dialect) -> str:
     first = "min_by(CASE WHEN role = 'user' THEN substring(content, 1, 200) END, CASE WHEN role = 'user' THEN msg_index END)" if d.spark else "arg_min(CASE WHEN role = 'user' THEN substring(content, 1, 200) END, CASE WHEN role = 'user' THEN msg_index END)"
     return f"SELECT conv_id, count(*) AS messages, CAST(sum(length(content)) AS BIGINT) AS chars, CAST(floor(sum(length(content)) / 4) AS BIGINT) AS tokens, {first} AS first_user FROM v_messages GROUP BY conv_id"
 
 
-def message_words(d: Dialect) -> str:
-    return f"SELECT conv_id, {d.each}({d.words('content')}) AS token FROM v_messages"
-
-
-CATEGORIES = {
-    "programming_languages": ("python", "java", "go", "rust", "ruby", "swift"),
-    "technologies": ("docker", "linux", "git", "sql", "kafka"),
-    "stop": ("the", "and", "for", "with", "that", "this", "from", "are", "was"),
-}
-
-
-def category() -> str:
-    return "CASE " + " ".join(f"WHEN token IN ({', '.join(repr(t) for t in v)}) THEN '{k}'" for k, v in CATEGORIES.items()) + " ELSE 'keywords' END"
-
-
-@R.add("agg_keywords")
-def _(d: Dialect) -> str:
-    return f"SELECT conv_id, token, count(*) AS n FROM ({message_words(d)}) w WHERE length(token) > 2 AND {category()} = 'keywords' GROUP BY conv_id, token HAVING count(*) >= 2"
-
-
-def index(d: Dialect) -> str:
-    return f"SELECT conv_id, token, category FROM (SELECT conv_id, token, {category()} AS category, count(*) AS n FROM ({message_words(d)}) w WHERE length(token) > 2 GROUP BY conv_id, token) g WHERE category <> 'stop' AND (category <> 'keywords' OR n >= 2)"
-
-
-@R.add("agg_inverted_index")
-def _(d: Dialect) -> str:
-    return f"SELECT category, token, {d.sha(d.joined_set(f'CAST(conv_id AS {d.text})'))} AS conversations FROM ({index(d)}) i GROUP BY category, token"
-
-
-@R.add("agg_doc_frequency")
-def _(d: Dialect) -> str:
-    return f"SELECT category, token, n FROM (SELECT category, token, n, row_number() OVER (PARTITION BY category ORDER BY n DESC, token) AS k FROM (SELECT category, token, count(DISTINCT conv_id) AS n FROM ({index(d)}) i GROUP BY category, token) c) t WHERE k <= 25"
-
-
-@R.add("agg_topic_map")
-def _(d: Dialect) -> str:
-    return f"SELECT concat(upper(substring(token, 1, 1)), substring(token, 2)) AS topic, count(DISTINCT conv_id) AS n FROM ({index(d)}) i GROUP BY token HAVING count(DISTINCT conv_id) >= 2"
-
-
-@R.add("join_anti_general")
-def _(d: Dialect) -> str:
-    return f"SELECT c.conv_id FROM v_conversations c WHERE NOT EXISTS (SELECT 1 FROM ({index(d)}) i WHERE i.conv_id = c.conv_id)"
-
-
 def fingerprints(d: Dialect) -> str:
     said = f"concat(role, chr(58), {d.normalized('content')})"
     return f"SELECT conv_id, min(ord) AS ord, {d.sha(d.joined(said, 'ord'))} AS fingerprint FROM v_messages WHERE length({BARE}) > 0 GROUP BY conv_id"

@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import context, documents, search, text
-from ..operators import evidence, relational
+from ..functions import context, documents, search, text, weighted
+from ..operators import dictionaries, evidence, relational
 from ..sources import documents as folders
 from ..sources import imports, packages
 from ..streaming import changes
 from ..views import run_sql, with_views
 from .dialect import DUCK, SPARK, Dialect
 
-TEXTS = {**relational.R, **evidence.R, **text.R, **search.R, **context.R, **packages.R, **documents.R, **folders.R, **imports.R, **changes.R}
+TEXTS = {**relational.R, **evidence.R, **dictionaries.R, **text.R, **search.R, **weighted.R, **context.R, **packages.R, **documents.R, **folders.R, **imports.R, **changes.R}
 
 
 def _query(make) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,7 +22,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | weighted.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:

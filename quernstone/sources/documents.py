@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.evidence import R as EVIDENCE
+from ..operators.dictionaries import R as DICTIONARIES
 from ..operators.relational import R as RELATIONAL
 from ..plans.dialect import DUCK, SPARK, Dialect, Registry
 from ..streaming.changes import shared_folder
@@ -18,7 +18,7 @@ REPORTS = {"inventory": ("agg_inventory", "conv_id"), "index": ("agg_inverted_in
 
 
 def _report(d: Dialect, key: str) -> str:
-    return (RELATIONAL if key in RELATIONAL else EVIDENCE)[key](d)
+    return (RELATIONAL if key in RELATIONAL else DICTIONARIES)[key](d)
 
 
 def sink_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def sink_json_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark)
     for name, (key, _) in REPORTS.items():
         run_sql(spark, sf_dir, _report(Dialect(SPARK), key)).write.json(f"{path}/report={name}")
-    subject = F.coalesce(*[F.get_json_object("value", f"$.{field}") for _, field in REPORTS.values()])
+    subject = F.coalesce(*[F.when(F.col("report") == name, F.get_json_object("value", f"$.{field}")) for name, (_, field) in REPORTS.items()])
     return spark.read.text(path).groupBy("report").agg(F.count("*").alias("n_rows"), F.count_distinct(subject).alias("n_subjects"))
 
 

@@ -134,7 +134,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         queue.drain(sessions(events.unionByName(closing)), folder, keep)
         last.select(F.lit("nobody").alias("object_id"), (F.col("at") + F.expr("INTERVAL 1 DAY")).alias("at")).write.mode("append").parquet(f"{folder}/closing")
-    return spark.read.schema("object_id string, first_us long, records long").parquet(f"{folder}/out").where("object_id <> 'nobody'")
+    return spark.read.schema("object_id string, first_us long, records long").parquet(f"{folder}/out").where("object_id <> 'nobody'").select("object_id", "first_us", "records")
 
 
 STREAMS = {

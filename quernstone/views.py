@@ -33,7 +33,7 @@ SELECT concat('d', CAST(doc_id AS STRING)) AS object_id, doc_id AS ord, substrin
        CASE WHEN doc_id % 9 = 0 THEN NULL ELSE source END AS source_platform,
        CASE WHEN doc_id % 15 = 0 THEN NULL ELSE concat(lang, '.json') END AS source_file,
        concat('t', CAST(doc_id % 3 AS STRING)) AS tenant_id, concat('s', CAST(doc_id % 2 AS STRING)) AS silo_id,
-       doc_id % 100 AS conversation_id
+       CAST(floor(doc_id / 10) AS BIGINT) AS conversation_id
 FROM documents
 """,
     "v_object_sources": """
@@ -72,12 +72,18 @@ FROM events
     "v_signal_text": """
 SELECT doc_id, concat(coalesce(text, ''), ' see https://ex', CAST(doc_id % 9 AS STRING), '.org/p on 2024-0', CAST(1 + doc_id % 9 AS STRING),
        '-1', CAST(doc_id % 10 AS STRING), ' file run_', CAST(doc_id % 21 AS STRING), '.py mail u', CAST(doc_id % 33 AS STRING), '@mail.example.com ',
-       CASE doc_id % 6 WHEN 0 THEN 'we will use Python with Docker, Python?' WHEN 1 THEN 'need to learn React and react now' WHEN 2 THEN 'Google has Go. Good'
+       CASE doc_id % 9 WHEN 6 THEN 'Ruby on Rails, Next.js; by ada lovelace and Tim Berners-Lee' WHEN 7 THEN 'C#7 Ruby  on Rails C# REST-GraphQL FastAPI2 NoSQL' WHEN 8 THEN 'GIT Kafka/iPhone macOS Elon Musk_ Bill Gates' WHEN 0 THEN 'we will use Python with Docker, Python?' WHEN 1 THEN 'need to learn React and react now' WHEN 2 THEN 'Google has Go. Good'
                        WHEN 3 THEN 'the oracle compiler docker docker [Source 1] [Source 3]' WHEN 4 THEN 'C++ C++x [source 2] [Source 2]' ELSE 'todo Élan pythonique' END) AS content
 FROM documents
+""",
+    "v_chat": """
+SELECT conv_id, msg_index, message_id, role, ord, tenant_id, silo_id, concat(content, CASE (conv_id * 3 + msg_index) % 14 WHEN 0 THEN ' python Docker, docker and Python? see https://ex.org/a%20b?x=<y>, www.site.net/z' WHEN 1 THEN ' next.js React_x react C++ C++11 on 2024-02-03 2024-02-04 or 03/04/2024x'
+  WHEN 2 THEN ' about the Oracle Compiler and run.PY.txt, a-b.c.json util.hpp' WHEN 3 THEN ' made with the Oracle' WHEN 4 THEN ' Grace Hopper met Linus  Torvalds at IBM' WHEN 5 THEN ' mail a.b@c.example.org on 12-31-2023' WHEN 6 THEN ' kubernetes Kubernetes Élan élan pythonique aws'
+  WHEN 7 THEN concat(' Ruby on Rails next.js! file_', CAST(conv_id AS STRING), '.yml') WHEN 8 THEN ' Tim Berners-Lee, Elon Musk. Meta metal' WHEN 9 THEN ' stripe stripe stripe vercel keyword keyword theme theme' ELSE '' END) AS content
+FROM (SELECT conv_id, msg_index, message_id, role, ord, tenant_id, silo_id, CASE WHEN (conv_id * 3 + msg_index) % 14 = 4 THEN concat('compiler ', content) WHEN (conv_id * 3 + msg_index) % 14 = 13 THEN '' ELSE content END AS content FROM v_messages) m
 """,
     "v_attachments": """
-SELECT concat('a', CAST(page_id AS STRING)) AS attachment_id, page_id % 100 AS conv_id, page_id AS ord, url,
+SELECT concat('a', CAST(page_id AS STRING)) AS attachment_id, CAST(floor(page_id / 3) AS BIGINT) AS conv_id, page_id AS ord, url,
        concat('f', CAST(page_id % 40 AS STRING), CASE page_id % 6 WHEN 0 THEN '.png' WHEN 1 THEN '.PDF' WHEN 2 THEN '.mp3' WHEN 3 THEN '.csv' WHEN 4 THEN '.exe' ELSE '' END) AS file_name,
        CASE WHEN page_id % 11 = 0 THEN 'image' ELSE 'unknown' END AS media_type
 FROM pages
