@@ -106,11 +106,6 @@ def code_points(d: Dialect, x: str) -> str:
     return f"coalesce(list_sum(list_transform(string_split({x}, ''), lambda c: unicode(c)))::BIGINT, 0)"
 
 
-@R.add("qry_char_embedding")
-def _(d: Dialect) -> str:
-    return f"SELECT doc_id, {code_points(d, 'text')} % 100 AS level FROM documents WHERE length(text) > 0"
-
-
 @R.add("qry_lexical_score")
 def _(d: Dialect) -> str:
     terms = d.matches("lower(text)", "[^ ]+")

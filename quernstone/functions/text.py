@@ -14,7 +14,6 @@ R.plain(
     fn_snippet="SELECT doc_id, length(CASE WHEN length(text) > 1500 THEN concat(substring(text, 1, 1500), '... [truncated]') ELSE text END) AS body_chars, substring(text, 1, 180) AS snippet FROM documents",
     fn_backoff="SELECT event_id, attempts, CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END AS status, CAST(least(power(2, attempts), 300) AS BIGINT) AS delay_s FROM v_sync_events",
     fn_search_text="SELECT object_id, length(concat(coalesce(title, ''), ' ', coalesce(content, ''))) AS chars FROM v_objects",
-    fn_hash_ids="SELECT attachment_id, concat(CAST(conv_id AS STRING), ':none:', attachment_id, ':1') AS knowledge_id, concat(file_name, ':', url, ':') AS fingerprint FROM v_attachments",
     fn_attachment_tasks="SELECT attachment_id, coalesce(nullif(file_name, ''), 'unnamed') AS name, coalesce(nullif(url, ''), file_name) AS url FROM v_attachments",
 )
 
@@ -59,40 +58,12 @@ def _(d: Dialect) -> str:
     return f"SELECT tenant_id, count(*) AS total, CAST(sum(CASE WHEN length(content) < 80 OR {d.size}({d.matches('title', '[^ ]+')}) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM v_objects GROUP BY tenant_id"
 
 
-@R.add("fn_title_from_text")
-def _(d: Dialect) -> str:
-    line = d.first("text", r"([^\x09-\x0D\x20][^\n]*)", 1)
-    return f"SELECT doc_id, substring({d.strip(d.replaced(line, '^#+', ''))}, 1, 120) AS title FROM documents"
-
-
 @R.add("fn_sanitize_name")
 def _(d: Dialect) -> str:
     clean = d.replaced(d.replaced("lower(p_name)", "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return f"SELECT p_partkey, coalesce(nullif({clean}, ''), 'topic') AS name FROM part"
 
 
-@R.add("fn_citation_indexes")
-def _(d: Dialect) -> str:
-    return f"SELECT DISTINCT doc_id, CAST(n AS INT) AS n FROM (SELECT doc_id, {d.each}({d.matches('content', r'\[Source ([0-9]+)\]', 1)}) AS n FROM v_signal_text) c"
-
-
-@R.add("fn_flatten_json_text")
-def _(d: Dialect) -> str:
-    return f"SELECT event_id, {d.replaced(d.replaced('props', '[{}\"]', ''), ':', ' ')} AS flat FROM events"
-
-
-@R.add("fn_parse_iso_ts")
-def _(d: Dialect) -> str:
-    text = "CASE WHEN user_id % 7 = 0 THEN 'broken' ELSE concat('2024-01-0', CAST(1 + user_id % 9 AS STRING), ' 10:00:00') END"
-    seconds = "unix_micros(coalesce(try_cast(x AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00')) div 1000000" if d.spark else "epoch_us(coalesce(try_cast(x AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00')) // 1000000"
-    return f"SELECT ord, CAST({seconds} AS BIGINT) AS epoch_s FROM (SELECT ord, {text} AS x FROM v_activity) t"
-
-
-@R.add("fn_csv_structure")
-def _(d: Dialect) -> str:
-    return f"SELECT r_regionkey, count(n_nationkey) AS row_count, 3 AS column_count, {d.joined('n_name', 'n_nationkey', ',')} AS names FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey"
-
-
 @R.add("fn_render_markdown")
 def _(d: Dialect) -> str:
     line = "concat('- **', role, '** ', content)"
@@ -106,19 +77,3 @@ def _(d: Dialect) -> str:
 SELECT page_id, CASE WHEN name LIKE '%myactivity%' THEN 'gemini' WHEN name LIKE '%grok%' THEN 'grok' WHEN name LIKE 'conversations-%' THEN 'chatgpt'
 WHEN substring(html, 1, 8192) LIKE '%Gemini Apps%' THEN 'gemini' WHEN substring(html, 1, 2000) LIKE '%conversation_id%' THEN 'chatgpt' WHEN substring(html, 1, 2000) LIKE '%conversations%' THEN 'grok' ELSE 'unknown' END AS platform
 FROM (SELECT page_id, html, {name} AS name FROM pages) p"""
-
-
-@R.add("src_text_doc")
-def _(d: Dialect) -> str:
-    return f"SELECT concat('text_', substring({d.sha('text')}, 1, 16)) AS object_id, doc_id, length(text) AS n_chars FROM documents WHERE {d.has('text', '[^ ]')}"
-
-
-@R.add("src_folder_scan")
-def _(d: Dialect) -> str:
-    return f"SELECT concat('docs/', CAST(doc_id AS STRING), '.txt') AS path, {d.sha('text')} AS hash FROM documents WHERE {d.has('text', '[^ ]')}"
-
-
-@R.add("sink_published_tables")
-def _(d: Dialect) -> str:
-    floor = "CAST(floor((row_number() OVER (PARTITION BY tenant_id, silo_id ORDER BY ord) - 1) / 500) AS BIGINT)"
-    return f"SELECT object_id, tenant_id, silo_id, {floor} AS batch FROM v_objects"

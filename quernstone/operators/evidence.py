@@ -79,13 +79,6 @@ FROM (SELECT event_id, lower(concat(CASE event_type WHEN 'signup' THEN 'Grok-' W
       CASE event_type WHEN 'error' THEN '{{"client": "grok"}}' ELSE props END AS body FROM events) e"""
 
 
-@R.add("src_permissive_load")
-def _(d: Dialect) -> str:
-    """Broken records are told apart; the others are loaded."""
-    valid = "try_parse_json(body) IS NOT NULL" if d.spark else "json_valid(body)"
-    return f"SELECT event_id, {valid} AS loaded, CASE WHEN {valid} THEN '' ELSE 'invalid_json' END AS error FROM (SELECT event_id, CASE event_type WHEN 'error' THEN substring(props, 1, length(props) - 1) ELSE props END AS body FROM events) e"
-
-
 @R.add("agg_health_reasons")
 def _(d: Dialect) -> str:
     at = d.micros("enqueued_at")

@@ -145,8 +145,8 @@ def _(d: Dialect) -> str:
 
 
 def fingerprints(d: Dialect) -> str:
-    said = f"concat(role, chr(58), {d.normalized('content')})"
-    return f"SELECT conv_id, min(ord) AS ord, {d.sha(d.joined(said, 'ord'))} AS fingerprint FROM v_messages WHERE length({BARE}) > 0 GROUP BY conv_id"
+    said = f"concat(lower({d.strip('role')}), chr(58), {d.normalized('content')})"
+    return f"SELECT conv_id, min(ord) AS ord, {d.sha(d.joined(said, 'ord', chr(10)))} AS fingerprint FROM v_messages WHERE length({BARE}) > 0 GROUP BY conv_id"
 
 
 @R.add("fn_content_fingerprint")
@@ -156,8 +156,11 @@ def _(d: Dialect) -> str:
 
 @R.add("agg_fingerprint_groups")
 def _(d: Dialect) -> str:
-    pick = "min_by" if d.spark else "arg_min"
-    return f"SELECT fingerprint, {pick}(conv_id, ord) AS canonical, {d.joined(f'CAST(conv_id AS {d.text})', 'ord')} AS aliases, count(*) AS n FROM ({fingerprints(d)}) f GROUP BY fingerprint"
+    """A row for each conversation of a group of equal content, with the group's first and its size, so that no group is one value."""
+    if d.spark:
+        groups = f"SELECT fingerprint, min_by(conv_id, ord) AS canonical, count(*) AS n FROM ({fingerprints(d)}) g0 GROUP BY fingerprint"
+        return f"SELECT /*+ MERGE(g) */ f.fingerprint, g.canonical, f.conv_id AS alias, g.n FROM ({fingerprints(d)}) f JOIN ({groups}) g ON g.fingerprint = f.fingerprint"
+    return f"SELECT fingerprint, first_value(conv_id) OVER (PARTITION BY fingerprint ORDER BY ord) AS canonical, conv_id AS alias, count(*) OVER (PARTITION BY fingerprint) AS n FROM ({fingerprints(d)}) f"
 
 
 @R.add("win_canonical")
@@ -195,18 +198,6 @@ SELECT attachment_id, ext, CASE WHEN ext = '.png' THEN 'image' WHEN ext = '.pdf'
 FROM (SELECT attachment_id, media_type, {ext} AS ext FROM v_attachments) a"""
 
 
-@R.add("join_attachment_cache")
-def _(d: Dialect) -> str:
-    key = d.sha(f"concat(file_name, chr(58), CAST(conv_id % 20 AS {d.text}))")
-    return f"SELECT a.attachment_id, c.key IS NOT NULL AS hit FROM (SELECT attachment_id, {key} AS key FROM v_attachments) a LEFT JOIN (SELECT DISTINCT {key} AS key FROM v_attachments WHERE ord % 4 = 0) c ON c.key = a.key"
-
-
-@R.add("join_citation_verify")
-def _(d: Dialect) -> str:
-    found = f"{d.each}({d.matches('content', r'\[Source ([0-9]+)\]', 1)})"
-    return f"SELECT doc_id, n, CAST(n AS BIGINT) <= 2 AS verified FROM (SELECT doc_id, {found} AS n FROM v_signal_text) c"
-
-
 @R.add("agg_import_manifest")
 def _(d: Dialect) -> str:
     return f"SELECT header, count(*) AS records, count(DISTINCT user_id) AS conversations, CAST(sum(CASE WHEN {d.strip(f'regexp_replace(title, {d.pattern("^Prompted ")}, {chr(39) * 2})')} = '' THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM v_activity GROUP BY header"

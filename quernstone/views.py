@@ -72,9 +72,13 @@ FROM events
     "v_signal_text": """
 SELECT doc_id, concat(coalesce(text, ''), ' see https://ex', CAST(doc_id % 9 AS STRING), '.org/p on 2024-0', CAST(1 + doc_id % 9 AS STRING),
        '-1', CAST(doc_id % 10 AS STRING), ' file run_', CAST(doc_id % 21 AS STRING), '.py mail u', CAST(doc_id % 33 AS STRING), '@mail.example.com ',
-       CASE doc_id % 9 WHEN 6 THEN 'Ruby on Rails, Next.js; by ada lovelace and Tim Berners-Lee' WHEN 7 THEN 'C#7 Ruby  on Rails C# REST-GraphQL FastAPI2 NoSQL' WHEN 8 THEN 'GIT Kafka/iPhone macOS Elon Musk_ Bill Gates' WHEN 0 THEN 'we will use Python with Docker, Python?' WHEN 1 THEN 'need to learn React and react now' WHEN 2 THEN 'Google has Go. Good'
+       CASE doc_id % 9 WHEN 6 THEN 'Ruby on Rails, Next.js; by ada lovelace and Tim Berners-Lee' WHEN 7 THEN 'C#7 Ruby  on Rails C# REST-GraphQL FastAPI2 NoSQL [Source 99999999999999999999] [SOURCE  007]' WHEN 8 THEN 'GIT Kafka/iPhone macOS Elon Musk_ Bill Gates' WHEN 0 THEN 'we will use Python with Docker, Python?' WHEN 1 THEN 'need to learn React and react now' WHEN 2 THEN 'Google has Go. Good'
                        WHEN 3 THEN 'the oracle compiler docker docker [Source 1] [Source 3]' WHEN 4 THEN 'C++ C++x [source 2] [Source 2]' ELSE 'todo Élan pythonique' END) AS content
 FROM documents
+""",
+    "v_citations": """
+SELECT doc_id, k, CASE k WHEN 1 THEN '1' WHEN 2 THEN CASE doc_id % 4 WHEN 0 THEN 'two' WHEN 1 THEN NULL ELSE ' 02' END WHEN 3 THEN CASE WHEN doc_id % 3 = 0 THEN '3.0' ELSE '+7' END
+  ELSE CASE WHEN doc_id % 2 = 0 THEN '99999999999999999999' ELSE '' END END AS source_index FROM documents CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) n
 """,
     "v_chat": """
 SELECT conv_id, msg_index, message_id, role, ord, tenant_id, silo_id, concat(content, CASE (conv_id * 3 + msg_index) % 14 WHEN 0 THEN ' python Docker, docker and Python? see https://ex.org/a%20b?x=<y>, www.site.net/z' WHEN 1 THEN ' next.js React_x react C++ C++11 on 2024-02-03 2024-02-04 or 03/04/2024x'
