@@ -31,17 +31,17 @@ PATHS = ("/en/12", "/de/7.html", "/fr/403/", "/es/88", "/", "")
 
 
 def hosts(words: list[str], forms: tuple[str, ...]) -> list[str]:
-    """Each word in each form, under the beginnings and domains by turns."""
-    names = [form.format(word) for word in words for form in forms]
-    return [BEFORE[i % 4] + name + BEHIND[i % 3] for i, name in enumerate(names)]
+    """Each word in each form, under every beginning and domain, so that these decide nothing."""
+    return [before + form.format(word) + behind for word in words for form in forms for before in BEFORE for behind in BEHIND]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url, blocked: every host with each path; blocked and allowed words stand in the same forms, so that the words decide."""
+    """url, blocked: every host with one of the paths, by turns; blocked and allowed words stand in the same forms, so that the words decide."""
     sides = [F.struct(F.split(F.lit(" ".join(h)), " ").alias("hosts"), F.lit(y).alias("blocked")) for y, h in ((1.0, hosts(BLOCKED_WORDS, BLOCKED_FORMS)), (0.0, hosts(ALLOWED_NAMES, ALLOWED_FORMS)))]
     rows = spark.range(1).select(F.inline(F.array(*sides))).select(F.explode("hosts").alias("host"), "blocked")
-    paths = F.explode(F.array(*map(F.lit, PATHS)))
-    return rows.select("host", "blocked", paths.alias("path")).select(F.concat(F.lit("https://"), "host", "path").alias("url"), "blocked")
+    # Beginnings and domains make twelve hosts of a name; a hash deals the paths so that each name meets them all.
+    path = F.get(F.array(*map(F.lit, PATHS)), F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(len(PATHS))).cast("int"))
+    return rows.select("host", "blocked", path.alias("path")).select(F.concat(F.lit("https://"), "host", "path").alias("url"), "blocked")
 
 
 def parts(url: str | Column = "url") -> tuple[Column, Column]:
