@@ -38,7 +38,7 @@ class Features(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        shape = _RUNS.sub(r"\1", word.translate(_OWN))[:16]
+        shape = _RUNS.sub(r"\1", word.translate(_OWN))
         letters = "".join(filter(str.isalpha, word)).lower()
         self[word] = got = 2 + xxhash.xxh32_intdigest(shape) % (SHAPES - 2) << 16 | SHAPES + xxhash.xxh32_intdigest(letters or word) % WORDS
         return got
