@@ -36,6 +36,8 @@ ROUNDS, TOLERANCE = 25, 1e-4
 #: A rule sees one kind of junk: where it does, it is nearly always right; on other junk it votes good. These are its first
 #: accuracies on good and on junk, and the bounds that keep it better than chance.
 START, ON_GOOD, ON_JUNK = (0.99, 0.3), (0.6, 0.999), (0.05, 0.99)
+#: Both together are at least this, so that a good vote never counts against a document, nor a junk vote for it.
+BOTH = 1.02
 
 
 def _repeat_words(w: Column) -> Column:
@@ -111,6 +113,7 @@ def label_model(voted: DataFrame, names: list[str]) -> dict:
             return model
         rate = lambda a, b, bounds: min(bounds[1], max(bounds[0], (a + 1) / (b + 2)))
         new = {"prior": min(0.99, max(0.01, (got["good"] + 1) / (got["all"] + 2)))} | {v: (rate(got[f"{v}_g"], got[f"{v}_ga"], ON_GOOD), rate(got[f"{v}_j"], got[f"{v}_ja"], ON_JUNK)) for v in names}
+        new |= {v: (new[v][0], max(new[v][1], BOTH - new[v][0])) for v in names}
         moved = max(abs(new["prior"] - model["prior"]), *(abs(a - b) for v in names for a, b in zip(new[v], model[v], strict=True)))
         model = new
         if moved < TOLERANCE:

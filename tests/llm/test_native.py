@@ -99,6 +99,13 @@ def test_exact(spark):
     assert exact.exact_dedup(frame(spark, [])).collect() == []
 
 
+def test_rules_stay_better_than_chance(spark):
+    """A rule that votes good on everything, junk as well, still weighs nothing against a good document."""
+    votes = [(1, 1)] * 90 + [(0, 1)] * 10
+    model = quality_rules.label_model(spark.createDataFrame(votes, "vote_a byte, vote_b byte"), ["vote_a", "vote_b"])
+    assert all(model[v][0] + model[v][1] > 1 for v in ("vote_a", "vote_b"))
+
+
 def test_drop_copies(spark):
     docs = frame(spark)
     got = exact.drop_copies(docs).collect()
@@ -127,4 +134,8 @@ def test_urls(spark):
         assert r.verdict in ("allow", "block") and (r.rule is None or r.verdict == RULES[r.rule])
     by = {r.page_id: r.verdict for r in got}
     assert by[11] == "block" and by[12] == "allow" and by[0] == "allow"
+    # The beginning of a host and its domain decide nothing.
+    same = [(i, f"https://{before}{name}{behind}/en/1") for i, (name, before, behind) in enumerate((n, a, b) for n in ("poker-night", "old-bridge") for a in ("", "www.", "m.", "blog.") for b in (".example.org", ".example.net"))]
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(same, "page_id long, url string"), {}).collect()}
+    assert all(verdicts[i] == ("block" if "poker" in u else "allow") for i, u in same)
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), RULES).collect() == []
