@@ -38,11 +38,6 @@ UNION ALL SELECT 'mixed', CAST(n AS STRING) FROM (SELECT count(DISTINCT concat(t
     join_orphan_permissions="SELECT p.scoped_id FROM v_permissions p ANTI JOIN (SELECT DISTINCT scoped_id FROM v_object_sources) s ON s.scoped_id = p.scoped_id",
     join_unpermissioned=f"SELECT o.object_id FROM v_objects o WHERE {SOURCED} AND NOT {KNOWN}",
     join_attachments_per_conv="SELECT c.conv_id, count(a.attachment_id) AS n_attachments, min(a.file_name) AS first_name FROM v_conversations c LEFT JOIN v_attachments a ON a.conv_id = c.conv_id GROUP BY c.conv_id",
-    join_provenance_repair="""
-SELECT o.object_id, coalesce(nullif(o.source_platform, ''), nullif(c.source_platform, '')) AS source_platform, coalesce(nullif(o.source_file, ''), c.source) AS source_file,
-       CASE WHEN o.source_platform IS NOT NULL AND o.source_file IS NOT NULL THEN 'ok'
-            WHEN coalesce(nullif(o.source_platform, ''), nullif(c.source_platform, '')) IS NOT NULL AND coalesce(nullif(o.source_file, ''), c.source) IS NOT NULL THEN 'repaired' ELSE 'failed' END AS status
-FROM v_objects o LEFT JOIN v_conversations c ON c.conv_id = o.conversation_id""",
     join_semi_platform="SELECT a.attachment_id, a.file_name FROM v_attachments a SEMI JOIN (SELECT conv_id FROM v_conversations WHERE source_platform = 'Grok') c ON c.conv_id = a.conv_id",
     join_snapshot_diff="""
 SELECT coalesce(n.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'create' WHEN n.path IS NULL THEN 'delete' ELSE 'update' END AS kind
@@ -64,9 +59,6 @@ SELECT c.source_platform, count(*) AS conversations, CAST(sum(m.n) AS BIGINT) AS
 FROM v_conversations c JOIN (SELECT conv_id, count(*) AS n FROM v_messages GROUP BY conv_id) m ON m.conv_id = c.conv_id
 LEFT JOIN (SELECT conv_id, count(*) AS n FROM v_attachments GROUP BY conv_id) a ON a.conv_id = c.conv_id GROUP BY c.source_platform""",
     agg_root_manifest="SELECT source_platform, count(*) AS conversations, CAST(grouping(source_platform) AS INT) AS is_total FROM v_conversations GROUP BY ROLLUP (source_platform)",
-    agg_provenance_report="""
-SELECT count(*) AS total, CAST(sum(CASE WHEN source_platform IS NOT NULL AND source_file IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS ok,
-       CAST(sum(CASE WHEN source_platform IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_platform, CAST(sum(CASE WHEN source_file IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS no_file FROM v_objects""",
     agg_provenance_ledger="SELECT tenant_id, silo_id, count(*) AS objects, CAST(sum(CASE WHEN source_platform IS NULL OR source_file IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS incomplete FROM v_objects GROUP BY tenant_id, silo_id",
     agg_queue_health="""
 SELECT source, CAST(sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS BIGINT) AS queued, CAST(sum(CASE WHEN status = 'processed' THEN 1 ELSE 0 END) AS BIGINT) AS processed,
@@ -85,7 +77,6 @@ SELECT (SELECT count(*) FROM v_conversations) AS conversations, (SELECT count(*)
     win_last_wins="SELECT object_id, kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS n FROM v_sync_events WHERE kind IN ('create', 'update')) t WHERE n = 1",
     win_event_seq="SELECT doc_id, is_delete, row_number() OVER (PARTITION BY source ORDER BY is_delete, doc_id) + 100 AS seq FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS is_delete FROM documents) t",
     win_attachment_dedup="SELECT attachment_id FROM (SELECT attachment_id, row_number() OVER (PARTITION BY conv_id, file_name ORDER BY ord) AS n FROM v_attachments) t WHERE n = 1",
-    win_envelope_latest="SELECT envelope_id, revision, CASE WHEN revision > 1 THEN revision - 1 END AS parent FROM (SELECT *, row_number() OVER (PARTITION BY envelope_id ORDER BY revision DESC) AS n FROM v_envelopes) t WHERE n = 1",
     top_conversations="SELECT conv_id, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY conv_id ORDER BY chars DESC, conv_id LIMIT 10",
     page_slice="SELECT p.conv_id, p.title, t.total FROM (SELECT conv_id, title FROM v_conversations ORDER BY ord LIMIT 20 OFFSET 20) p CROSS JOIN (SELECT count(*) AS total FROM v_conversations) t",
     sort_newest_first="SELECT conv_id, created, row_number() OVER (PARTITION BY source_platform ORDER BY coalesce(created, '') DESC, ord) AS place FROM v_conversations",
@@ -113,8 +104,6 @@ LEFT JOIN seen s ON s.query_id = e.envelope_id AND s.dimension_id = e.dimension_
     ctx_open_high="""
 SELECT e.envelope_id, e.status, o.o_orderpriority AS sensitivity FROM v_envelopes e JOIN orders o ON o.o_orderkey = e.envelope_id
 WHERE e.status IN ('missing', 'partially_resolved') AND o.o_orderpriority LIKE '1%'""",
-    ctx_revisions="""
-SELECT envelope_id, revision, status FROM v_envelopes UNION ALL SELECT envelope_id, revision + 1, 'resolved' FROM v_envelopes WHERE status = 'missing'""",
 )
 
 

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import context, documents, search, structures, text, weighted
-from ..operators import dictionaries, evidence, relational
+from ..operators import dictionaries, evidence, provenance, relational, revisions
 from ..sources import documents as folders
-from ..sources import files, imports, packages
+from ..sources import files, imports, packages, published
 from ..streaming import changes
 from ..views import run_sql, with_views
 from .dialect import DUCK, SPARK, Dialect
 
-TEXTS = {**relational.R, **evidence.R, **dictionaries.R, **text.R, **search.R, **weighted.R, **structures.R, **context.R, **packages.R, **documents.R, **folders.R, **imports.R, **files.R, **changes.R}
+TEXTS = {**relational.R, **evidence.R, **dictionaries.R, **provenance.R, **revisions.R, **text.R, **search.R, **weighted.R, **structures.R, **context.R, **packages.R, **documents.R, **folders.R, **imports.R, **files.R, **published.R, **changes.R}
 
 
 def _query(make) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,7 +22,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | published.QUERIES | revisions.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:

@@ -29,10 +29,11 @@ def title_of(text: Column, name: Column) -> Column:
 
 def scan_folder(spark: SparkSession, path: str, endings: str = ENDINGS) -> DataFrame:
     """path (below the folder), hash (sha256), modified_at, n_bytes, object_id, title, text of every text file at any depth, and
-    `rejected`: 'not_utf8' or 'blank' for files that are left out, null for all others. A file is read as a whole."""
+    `rejected`: 'not_utf8' or 'blank' for files that are left out, null for all others. A file is read as a whole;
+    Spark lists no file without any byte, so these are left out like blank ones, but without a row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", endings).load(path)
     root = path.rstrip("/").split("://")[-1].removeprefix("file:") + "/"
-    below = F.substring_index(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), root, -1)
+    below = F.substring_index("path", root, -1)
     rows = found.select(below.alias("path"), F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("modified_at"), F.col("length").alias("n_bytes"), F.expr("try_validate_utf8(CAST(content AS STRING))").alias("text"))
     rejected = F.when(F.col("text").isNull(), "not_utf8").when(stripped(F.col("text")) == "", "blank")
     rows = rows.withColumn("rejected", rejected)
