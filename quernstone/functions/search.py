@@ -4,18 +4,13 @@ Requests meet objects over shared tokens, an equi-join, never as all pairs; in o
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
 from ..operators.relational import DENIED
 from ..plans.dialect import Dialect, Registry
 
 R = Registry()
 TOP = 5
-#: Vectors whose id EVERY divides are queries, sent BLOCK at a time.
-EVERY, BLOCK = 50, 500
+#: Vectors whose id EVERY divides are queries.
+EVERY = 50
 
 
 def request_tokens(d: Dialect) -> str:
@@ -59,47 +54,6 @@ def _(d: Dialect) -> str:
     return f"SELECT query_id, vec_id, place FROM (SELECT q.vec_id AS query_id, e.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({cosine}, 6) DESC, e.vec_id) AS place FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % {EVERY} = 0) q ON q.vec_id <> e.vec_id) t WHERE place <= {TOP}"
 
 
-def _matrix(b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = b.column("embedding").combine_chunks().flatten() if isinstance(b, pa.Table) else b.column("embedding").flatten()
-    x = x.to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-    return b.column("vec_id").to_numpy(), x, np.sqrt((x * x).sum(axis=1))
-
-
-def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries in blocks of a bounded range of ids, each sent to all vectors; the first TOP of every batch are merged."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    first, last = vectors.agg(F.min("vec_id"), F.max("vec_id")).first()
-    shape = "query_id long, vec_id long, score double"
-    found = spark.createDataFrame([], shape)
-    for start in range(first, last + 1, EVERY * BLOCK) if first is not None else ():
-        asked = vectors.where(f"vec_id % {EVERY} = 0 AND vec_id >= {start} AND vec_id < {start + EVERY * BLOCK}").toArrow()
-        if not asked.num_rows:
-            continue
-        ids, queries, lengths = _matrix(asked)
-
-        def best(batches, ids=ids, queries=queries, lengths=lengths):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                other, x, norms = _matrix(b)
-                scores = np.round(x @ queries.T / (norms[:, None] * lengths), 6)
-                scores[other[:, None] == ids] = -np.inf
-                least = np.partition(scores, -min(TOP, len(x)), axis=0)[-min(TOP, len(x))]
-                at, q = np.nonzero((scores >= least) & (scores > -np.inf))
-                order = np.lexsort((other[at], -scores[at, q], q))
-                at, q = at[order], q[order]
-                keep = np.arange(len(q)) - np.searchsorted(q, q) < TOP
-                at, q = at[keep], q[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(other[at], pa.int64()), pa.array(scores[at, q])], names=["query_id", "vec_id", "score"])
-
-        found = found.unionByName(vectors.mapInArrow(best, shape))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("place", place).where(f"place <= {TOP}").select("query_id", "vec_id", "place")
-
-
-QUERIES = {"qry_cosine": nearest}
-
-
 def code_points(d: Dialect, x: str) -> str:
     if d.spark:
         return f"aggregate(split({x}, ''), CAST(0 AS BIGINT), (s, c) -> s + ascii(c))"

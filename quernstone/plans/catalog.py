@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import context, documents, search, structures, text, weighted
+from ..functions import context, documents, ranking, search, structures, text, weighted
 from ..operators import dictionaries, evidence, provenance, relational, revisions
 from ..sources import documents as folders
 from ..sources import files, imports, packages, published
@@ -22,7 +22,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | search.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | published.QUERIES | revisions.QUERIES | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | ranking.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | published.QUERIES | revisions.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:

@@ -47,13 +47,16 @@ def test_hybrid_scores_every_chunk_in_scope(spark, tmp_path):
 def test_signals_after_200_characters(spark, tmp_path):
     tail = " at https://late.org/x by late@late.org on 1999-12-31 in late.py, we will see Kubernetes [Source 9]"
     docs = [(1, "word " * 60 + tail, "en", "s", 0), (2, None, "en", "s", 0), (4, "short", "en", "s", 0)]
-    sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS))
+    talks = [(1, 0, "user", "word " * 60 + tail), (3, 1, "user", "short")]
+    sf = tables(spark, tmp_path, documents=(docs, DOCUMENTS), conversations=(talks, "conv_id long, turn int, role string, text string"))
     rows = lambda key: catalog.queries()[key](spark, sf).collect()
-    got = {(x.doc_id, x.type, x.value) for x in rows("fn_regex_entities")}
-    late = {(1, "url", "https://late.org"), (1, "email", "late@late.org"), (1, "date", "1999-12-31"), (1, "file", "late.py")}
-    assert late <= got and {x[0] for x in got} == {1, 2, 4}
-    assert {x.days for x in rows("fn_temporal_signals") if x.doc_id == 1} == {"1999-12-31,2024-02-11"}
-    assert 9 in {x.n for x in rows("fn_citation_indexes") if x.doc_id == 1}
+    got = {(x.message_id, x.type, x.value) for x in rows("fn_regex_entities")}
+    late = {("m1_0", "URL", "https://late.org"), ("m1_0", "Email Address", "late@late.org"), ("m1_0", "Date", "1999-12-31"), ("m1_0", "File Name", "late.py")}
+    assert late <= got
+    assert {x.days for x in rows("fn_temporal_signals") if x.message_id == "m1_0"} == {"1999-12-31"}
+    assert {("email", "late@late.org"), ("url", "https://late.org/x")} <= {(x.type, x.value) for x in rows("fn_regex_v2") if x.doc_id == 1}
+    assert "Kubernetes" in {x.term for x in rows("join_gazetteer") if x.doc_id == 1}
+    assert "9" in {x.n for x in rows("fn_citation_indexes") if x.doc_id == 1}
     assert [x.decision for x in rows("fn_candidates") if x.doc_id == 1] == [True]
 
 
@@ -75,11 +78,18 @@ def test_line_ends_and_blank_lines_do_not_tell_texts_apart(spark, tmp_path):
     docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts, 1)]
     sf = tables(spark, tmp_path, conversations=(talks, "conv_id long, turn int, role string, text string"), documents=(docs, DOCUMENTS))
     rows = lambda key: catalog.queries()[key](spark, sf).collect()
-    assert sorted(x.n for x in rows("agg_fingerprint_groups")) == [1, 4]
+    assert sorted((x.canonical, x.alias, x.n) for x in rows("agg_fingerprint_groups")) == [(1, 1, 4), (1, 2, 4), (1, 3, 4), (1, 4, 4), (5, 5, 1)]
     assert {x.conv_id: x.canonical for x in rows("win_canonical")} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
     assert len({x.normalized for x in rows("fn_normalize_text")}) == 2
 
 
+def test_messages_are_not_joined_into_one(spark, tmp_path):
+    """Two messages a and b are another conversation than one message whose text looks like both."""
+    talks = [(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "a|user:b"), (3, 0, " User", "a"), (3, 1, "user", "b")]
+    sf = tables(spark, tmp_path, conversations=(talks, "conv_id long, turn int, role string, text string"))
+    assert {x.conv_id: x.canonical for x in catalog.queries()["win_canonical"](spark, sf).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_caps_and_totals(spark, tmp_path):
     talks = [(1, i, "user", f"we will see {i}") for i in range(60)] + [(i, 0, "user", f"the talk {i}") for i in range(2, 50)]
     docs = [(i, "text", "en", "s", 0) for i in range(1200)]
