@@ -15,9 +15,8 @@ R = Registry()
 
 #: Fixed values of the formats.
 HEADER, ACTIVITY_V1, ACTIVITY_OTHER = "Gemini Apps", "gemini-myactivity-v1", "gemini-myactivity-unknown"
-UNTITLED, UNTITLED_V2 = "Untitled", "Untitled Conversation"
+UNTITLED_V2 = "Untitled Conversation"
 
-TREE = "array<struct<conversation_id: string, title: string, mapping: map<string, struct<message: struct<author: struct<role: string>, content: struct<parts: array<variant>>, create_time: double>>>>>"
 ACTIVITY = "array<struct<header: string, title: string, safeHtmlItem: variant>>"
 
 
@@ -28,27 +27,6 @@ def stored(lines: DataFrame) -> DataFrame:
     return lines.sparkSession.read.text(path)
 
 
-def tree_messages(exports: DataFrame) -> DataFrame:
-    """One row per message of tree exports: nodes without a message go, parts that are no texts go, the time orders, none counting as 0."""
-    c = exports.select(F.explode(F.from_json("value", TREE)).alias("c"))
-    nodes = c.select(F.coalesce("c.conversation_id", F.lit("unknown")).alias("conv_id"), F.coalesce("c.title", F.lit(UNTITLED)).alias("title"), F.map_entries("c.mapping").alias("nodes"))
-    held = F.transform(F.filter("nodes", lambda n: n["value"]["message"].isNotNull()), lambda n, i: F.struct(F.coalesce(n["value"]["message"]["create_time"], F.lit(0.0)).alias("at"), i.alias("i"), n["value"]["message"].alias("m")))
-    # Arrays that hold VARIANT cannot be sorted, so the texts are joined first.
-    texts = lambda m: F.array_join(F.transform(F.filter(m["content"]["parts"], lambda p: F.schema_of_variant(p) == "STRING"), lambda p: F.variant_get(p, "$", "string")), " ")
-    plain = F.transform(held, lambda e: F.struct(e["at"].alias("at"), e["i"].alias("i"), F.coalesce(e["m"]["author"]["role"], F.lit("unknown")).alias("role"), F.coalesce(texts(e["m"]), F.lit("")).alias("content")))
-    return nodes.select("conv_id", "title", F.posexplode(F.sort_array(plain)).alias("place", "e")).select("conv_id", "title", "place", "e.role", "e.content")
-
-
-def src_json_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as trees of nodes, half of them in a list; one row per message."""
-    node = F.expr("""struct(message_id AS key, named_struct('message', named_struct('author', named_struct('role', role), 'create_time', nullif(CAST(msg_index AS DOUBLE), 0D),
-        'content', named_struct('parts', array(CAST(coalesce(content, '') AS VARIANT), CAST(7 AS VARIANT), CAST('end' AS VARIANT))))) AS value)""")
-    grouped = view(spark, sf_dir, "v_messages").groupBy("conv_id").agg(F.collect_list(node).alias("nodes"))
-    one = grouped.select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation_id"), F.map_from_entries("nodes").alias("mapping"))).alias("o"))
-    lines = one.select(F.expr("CASE WHEN conv_id % 2 = 0 THEN concat('[', o, ']') ELSE o END").alias("value"))
-    return tree_messages(stored(lines)).withColumn("content", F.sha2("content", 256))
-
-
 def objects_v2(exports: DataFrame) -> DataFrame:
     """One row per conversation of generic exports, with the places of the messages that hold text, and what is attached.
 
@@ -105,12 +83,7 @@ def src_activity_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity_records(read).select("name", "error", "version", F.size("records").alias("n_records"), F.sha2(F.array_join(F.transform("records", lambda r: r["title"]), "|"), 256).alias("titles"))
 
 
-QUERIES = {f.__name__: f for f in (src_json_tree, src_json_v2, src_activity_json)}
-
-
-@R.add("src_json_tree")
-def _(d: Dialect) -> str:
-    return f"SELECT CAST(conv_id AS {d.text}) AS conv_id, '{UNTITLED}' AS title, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_index) - 1 AS INT) AS place, role, {d.sha("concat(coalesce(content, ''), ' end')")} AS content FROM v_messages"
+QUERIES = {f.__name__: f for f in (src_json_v2, src_activity_json)}
 
 
 @R.add("src_json_v2")

@@ -12,8 +12,6 @@ from ..views import run_sql, view
 
 R = Registry()
 
-EXPORT = "id string, title string, created_at string, messages array<struct<role: string, content: string>>"
-
 
 def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects as nested JSON and back: how many there are, and how many rows differ either way."""
@@ -25,17 +23,6 @@ def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("objects")).crossJoin(lost.agg(F.count("*").alias("differences")))  # one row by one row
 
 
-def flat_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as one JSON document each, written as text and imported again: one row per message, in order."""
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("msg_index", "role", "content"))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    export = view(spark, sf_dir, "v_messages").groupBy("conv_id").agg(ordered.alias("messages"))
-    path = shared_folder(spark)
-    export.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "messages")).alias("value")).write.text(path)
-    read = spark.read.text(path).select(F.from_json("value", EXPORT).alias("c"))
-    named = read.select(F.coalesce("c.id", F.lit("unknown")).alias("conv_id"), F.coalesce("c.title", F.lit("Untitled Grok Conversation")).alias("title"), F.posexplode("c.messages").alias("place", "m"))
-    return named.select("conv_id", "title", "place", F.coalesce("m.role", F.lit("unknown")).alias("role"), F.sha2(F.coalesce("m.content", F.lit("")), 256).alias("content"))
-
-
 def platform_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder for each platform, and what partition discovery reads from them."""
     path = shared_folder(spark)
@@ -60,15 +47,10 @@ def object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_objects(mine, "t1", "s0").select("object_id", "source_platform", F.get_json_object("raw_json", "$.title").alias("title"))
 
 
-QUERIES = {"pkg_roundtrip": package_roundtrip, "src_json_flat": flat_export, "sink_platform_packages": platform_packages, "sink_object_store": object_store}
+QUERIES = {"pkg_roundtrip": package_roundtrip, "sink_platform_packages": platform_packages, "sink_object_store": object_store}
 
 R.plain(
     pkg_roundtrip="SELECT count(*) AS objects, CAST(0 AS BIGINT) AS differences FROM v_objects",
     sink_object_store=f"SELECT object_id, source_platform, title FROM v_objects o WHERE tenant_id = 't1' AND silo_id = 's0' AND NOT {DENIED}",
     sink_platform_packages="SELECT conv_id, title, coalesce(nullif(source_platform, ''), 'Unknown') AS source_platform FROM v_conversations",
 )
-
-
-@R.add("src_json_flat")
-def _(d: Dialect) -> str:
-    return f"SELECT CAST(conv_id AS {d.text}) AS conv_id, 'Untitled Grok Conversation' AS title, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY msg_index) - 1 AS INT) AS place, role, {d.sha('content')} AS content FROM v_messages"
