@@ -75,12 +75,9 @@ SELECT (SELECT count(*) FROM v_conversations) AS conversations, (SELECT count(*)
     win_evidence_ids=f"SELECT message_id, concat('ev_', CAST(row_number() OVER (PARTITION BY conv_id ORDER BY ord) AS STRING)) AS evidence_id FROM v_messages WHERE length({BARE}) > 0",
     win_first_wins="SELECT object_id, source_platform FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY again, ord) AS n FROM (SELECT object_id, ord, source_platform, 0 AS again FROM v_objects UNION ALL SELECT object_id, ord, 'again', 1 FROM v_objects WHERE ord % 3 = 0) u) t WHERE n = 1",
     win_last_wins="SELECT object_id, kind, event_id FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY event_id DESC) AS n FROM v_sync_events WHERE kind IN ('create', 'update')) t WHERE n = 1",
-    win_event_seq="SELECT doc_id, is_delete, row_number() OVER (PARTITION BY source ORDER BY is_delete, doc_id) + 100 AS seq FROM (SELECT doc_id, source, CASE WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS is_delete FROM documents) t",
     win_attachment_dedup="SELECT attachment_id FROM (SELECT attachment_id, row_number() OVER (PARTITION BY conv_id, file_name ORDER BY ord) AS n FROM v_attachments) t WHERE n = 1",
     top_conversations="SELECT conv_id, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY conv_id ORDER BY chars DESC, conv_id LIMIT 10",
     page_slice="SELECT p.conv_id, p.title, t.total FROM (SELECT conv_id, title FROM v_conversations ORDER BY ord LIMIT 20 OFFSET 20) p CROSS JOIN (SELECT count(*) AS total FROM v_conversations) t",
-    sort_newest_first="SELECT conv_id, created, row_number() OVER (PARTITION BY source_platform ORDER BY coalesce(created, '') DESC, ord) AS place FROM v_conversations",
-    sort_index="SELECT conv_id, row_number() OVER (PARTITION BY tenant_id ORDER BY coalesce(title, CAST(conv_id AS STRING)), ord) AS place FROM v_conversations",
     top_ready_event="SELECT object_id, event_id FROM (SELECT object_id, event_id, row_number() OVER (PARTITION BY object_id ORDER BY enqueued_at, event_id) AS n FROM v_sync_events WHERE status = 'queued' AND attempts < 5) t WHERE n = 1",
     set_edges_union="""
 SELECT 'sourced_from' AS type, object_id AS a, CAST(conversation_id AS STRING) AS b, 'conversation' AS b_kind FROM v_objects
