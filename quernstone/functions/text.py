@@ -40,22 +40,37 @@ def _(d: Dialect) -> str:
 SELECT doc_id, {d.has('content', '[?][ ]*$')} AS question, {d.has(x, '(we will|decided|agreed)')} AS decision, {d.has(x, '(todo|need to|must|should)')} AS action, {d.has(x, '( is | are | was )')} AS claim FROM v_signal_text"""
 
 
+def judged(d: Dialect) -> str:
+    """Objects with what speaks against keeping them: a title shaped like a conversation, hardly any text, no source that stands for them."""
+    if d.spark:
+        starts = " OR ".join(f"t LIKE '{p} %'" for p in SHAPES)
+        words = f"size({d.matches('t', r'[^\x09-\x0D\x20]+')})"
+        shaped = f"t = '' OR t LIKE '%?' OR {starts} OR {words} > 12"
+        title, body = f"lower({d.strip("coalesce(title, '')")})", f"length({d.strip("coalesce(content, '')")})"
+        sourced = "SELECT /*+ MERGE(s) */ o.*, s.object_id IS NULL AS missing_evidence FROM v_objects o LEFT JOIN (SELECT DISTINCT object_id FROM v_object_sources) s ON s.object_id = o.object_id"
+    else:
+        blanks = "' ' || " + " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31))
+        shaped = f"t = '' OR t[-1] = '?' OR list_contains([{', '.join(f"'{p}'" for p in SHAPES)}], CASE WHEN contains(t, ' ') THEN split_part(t, ' ', 1) END) OR len(list_filter(regexp_split_to_array(t, '[\\t-\\r ]+'), lambda w: w <> '')) > 12"
+        title, body = f"lower(trim(coalesce(title, ''), {blanks}))", f"length(trim(coalesce(content, ''), {blanks}))"
+        sourced = "SELECT o.*, o.object_id NOT IN (SELECT object_id FROM v_object_sources) AS missing_evidence FROM v_objects o"
+    return f"SELECT object_id, tenant_id, {shaped} AS shaped, n < 80 AS thin, missing_evidence FROM (SELECT object_id, tenant_id, missing_evidence, {title} AS t, {body} AS n FROM ({sourced}) o1) o2"
+
+
 @R.add("fn_conversation_shaped")
 def _(d: Dialect) -> str:
-    starts = " OR ".join(f"t LIKE '{p} %'" for p in SHAPES)
-    words = f"{d.size}({d.matches('t', r'[^\x09-\x0D\x20]+')})"
-    title = f"lower({d.strip("coalesce(title, '')")})"
-    return f"SELECT object_id, t = '' OR {d.has('t', '[?]$')} OR {starts} OR {words} > 12 AS shaped FROM (SELECT object_id, {title} AS t FROM v_objects) o"
+    return f"SELECT object_id, shaped FROM ({judged(d)}) j"
 
 
 @R.add("fn_quality_flags")
 def _(d: Dialect) -> str:
-    return f"SELECT object_id, length(content) < 80 AS thin, source_file IS NULL AS missing_evidence, {d.size}({d.matches('title', '[^ ]+')}) > 12 AS shaped FROM v_objects"
+    return f"SELECT object_id, shaped, thin, missing_evidence, NOT shaped AND NOT thin AND NOT missing_evidence AS reusable_candidate FROM ({judged(d)}) j"
 
 
 @R.add("agg_quality_report")
 def _(d: Dialect) -> str:
-    return f"SELECT tenant_id, count(*) AS total, CAST(sum(CASE WHEN length(content) < 80 OR {d.size}({d.matches('title', '[^ ]+')}) > 12 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM v_objects GROUP BY tenant_id"
+    """A row for each flagged object, and one without an id for each tenant, with all and flagged objects."""
+    flags = "SELECT object_id, tenant_id, shaped, thin, missing_evidence, CAST(NULL AS BIGINT) AS total, CAST(NULL AS BIGINT) AS flagged"
+    return f"{flags} FROM ({judged(d)}) j WHERE shaped OR thin UNION ALL SELECT NULL, tenant_id, NULL, NULL, NULL, count(*), CAST(sum(CASE WHEN shaped OR thin THEN 1 ELSE 0 END) AS BIGINT) FROM ({judged(d)}) k GROUP BY tenant_id"
 
 
 @R.add("fn_sanitize_name")

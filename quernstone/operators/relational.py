@@ -58,7 +58,6 @@ FROM v_conversations c LEFT JOIN (SELECT conversation_id, min(object_id) AS obje
 SELECT c.source_platform, count(*) AS conversations, CAST(sum(m.n) AS BIGINT) AS messages, CAST(sum(coalesce(a.n, 0)) AS BIGINT) AS attachments, min(c.created) AS first_created, max(c.created) AS last_created
 FROM v_conversations c JOIN (SELECT conv_id, count(*) AS n FROM v_messages GROUP BY conv_id) m ON m.conv_id = c.conv_id
 LEFT JOIN (SELECT conv_id, count(*) AS n FROM v_attachments GROUP BY conv_id) a ON a.conv_id = c.conv_id GROUP BY c.source_platform""",
-    agg_root_manifest="SELECT source_platform, count(*) AS conversations, CAST(grouping(source_platform) AS INT) AS is_total FROM v_conversations GROUP BY ROLLUP (source_platform)",
     agg_provenance_ledger="SELECT tenant_id, silo_id, count(*) AS objects, CAST(sum(CASE WHEN source_platform IS NULL OR source_file IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS incomplete FROM v_objects GROUP BY tenant_id, silo_id",
     agg_queue_health="""
 SELECT source, CAST(sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS BIGINT) AS queued, CAST(sum(CASE WHEN status = 'processed' THEN 1 ELSE 0 END) AS BIGINT) AS processed,
@@ -187,3 +186,12 @@ FROM (SELECT attachment_id, media_type, {ext} AS ext FROM v_attachments) a"""
 @R.add("agg_import_manifest")
 def _(d: Dialect) -> str:
     return f"SELECT header, count(*) AS records, count(DISTINCT user_id) AS conversations, CAST(sum(CASE WHEN {d.strip(f'regexp_replace(title, {d.pattern("^Prompted ")}, {chr(39) * 2})')} = '' THEN 1 ELSE 0 END) AS BIGINT) AS warnings FROM v_activity GROUP BY header"
+
+
+@R.add("agg_root_manifest")
+def _(d: Dialect) -> str:
+    """Platforms and the whole, without the conversations that a permission denies."""
+    seen = f"SELECT source_platform FROM v_conversations WHERE conv_id IN ({R['flt_permissions_legacy'](d)})"
+    if d.spark:
+        return f"SELECT source_platform, count(*) AS conversations, CAST(grouping(source_platform) AS INT) AS is_total FROM ({seen}) v GROUP BY ROLLUP (source_platform)"
+    return f"SELECT source_platform, count(*) AS conversations, 0 AS is_total FROM ({seen}) v GROUP BY source_platform UNION ALL SELECT NULL, count(*), 1 FROM ({seen}) v"
