@@ -86,6 +86,7 @@ def _(d: Dialect) -> str:
 sum(CASE WHEN status = 'queued' AND attempts > 0 THEN 1 ELSE 0 END) AS waiting, max({at}) - min(CASE WHEN status = 'queued' THEN {at} END) AS oldest, max({at}) - max(CASE WHEN status = 'processed' THEN {at} END) AS lag_us FROM v_sync_events"""
     stored = "SELECT count(*) AS objects, count(DISTINCT object_id) AS named FROM v_objects"
     granted = f"SELECT (SELECT count(*) FROM ({RELATIONAL['join_orphan_permissions'](d)}) o) AS orphans, (SELECT count(*) FROM ({RELATIONAL['join_unpermissioned'](d)}) u) AS unknown, (SELECT count(*) FROM v_permissions WHERE recorded_from_event IS NULL) AS unrecorded"
+    # The names of the reasons.
     rules = {
         "failed_events": "failed > 0",
         "queue_age_high": f"oldest > {OLD_S} * 1000000",
@@ -104,6 +105,7 @@ sum(CASE WHEN status = 'queued' AND attempts > 0 THEN 1 ELSE 0 END) AS waiting,
 @R.add("ctx_answer_record")
 def _(d: Dialect) -> str:
     """The record of an answer: what it may say, how it is qualified, and its claims with their evidence."""
+    # The sentences below.
     classes = RELATIONAL["ctx_classify"](d)
     refs = ", ".join(f"{d.joined_set(f"CASE WHEN class = '{c}' THEN CAST(span_no AS {d.text}) END")} AS {name}" for c, name in (("fully", "supporting"), ("partially", "partial"), ("unconstrained", "background"), ("incompatible", "conflicting")))
     conflicts = f"SELECT query_id, {d.joined_set('dimension_id', ', ')} AS dims FROM ({RELATIONAL['ctx_conflicts'](d)}) c GROUP BY query_id"

@@ -9,6 +9,7 @@ R = Registry()
 DENIED = "EXISTS (SELECT 1 FROM v_object_sources s JOIN v_permissions p ON p.scoped_id = s.scoped_id WHERE s.object_id = o.object_id AND p.can_read = false)"
 KNOWN = "EXISTS (SELECT 1 FROM v_object_sources s JOIN v_permissions p ON p.scoped_id = s.scoped_id WHERE s.object_id = o.object_id)"
 SOURCED = "EXISTS (SELECT 1 FROM v_object_sources s WHERE s.object_id = o.object_id)"
+# Names of platforms as sources spell them, and as they are shown.
 PLATFORMS = ("gemini", "chatgpt", "openai", "claude", "anthropic", "grok", "perplexity", "copilot")
 NAMES = {"gemini": "Gemini", "chatgpt": "ChatGPT", "openai": "ChatGPT", "claude": "Claude", "anthropic": "Claude", "grok": "Grok", "perplexity": "Perplexity", "copilot": "Copilot"}
 BARE = "replace(replace(replace(replace(content, ' ', ''), chr(9), ''), chr(10), ''), chr(13), '')"
