@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.relational import DENIED
 from ..plans.dialect import SPARK, Dialect
 from ..plans.numbering import numbered
 from ..streaming.folders import shared_folder
@@ -54,8 +53,10 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """item_id, object_id, ord, shared, asked: distinct tokens that a request shares with an object of its scope that is not denied."""
     d = Dialect(SPARK)
     asked = sent(_requests(spark, sf_dir, d.tokens("text")))
-    objects = run_sql(spark, sf_dir, f"SELECT object_id, ord, tenant_id, silo_id, {d.tokens('content')} AS tokens FROM v_objects o WHERE NOT {DENIED}")
-    met = objects.select("object_id", "ord", *SCOPE, F.explode("tokens").alias("token")).join(asked, ["token", *SCOPE])
+    denied = sent(run_sql(spark, sf_dir, "SELECT DISTINCT s.object_id FROM v_object_sources s JOIN v_permissions p ON p.scoped_id = s.scoped_id WHERE p.can_read = false"))
+    objects = run_sql(spark, sf_dir, f"SELECT object_id, ord, tenant_id, silo_id, {d.tokens('content')} AS tokens FROM v_objects").join(denied, "object_id", "left_anti")
+    # The outer form, since the plain one has the planner cut texts again to see whether there is any token.
+    met = objects.select("object_id", "ord", *SCOPE, F.explode_outer("tokens").alias("token")).join(asked, ["token", *SCOPE])
     return met.groupBy("item_id", "object_id", "ord").agg(F.count("*").alias("shared"), F.max("n").alias("asked"))
 
 
@@ -86,7 +87,7 @@ def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Dialect(SPARK)
     terms = d.matches("lower(text)", "[^ ]+")
     asked = sent(run_sql(spark, sf_dir, f"SELECT item_id, explode(array_distinct({terms})) AS term FROM benchmark"))
-    words = run_sql(spark, sf_dir, f"SELECT doc_id, explode({terms}) AS term FROM documents")
+    words = run_sql(spark, sf_dir, f"SELECT doc_id, explode_outer({terms}) AS term FROM documents")
     return words.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
