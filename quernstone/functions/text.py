@@ -50,7 +50,7 @@ def judged(d: Dialect) -> str:
         sourced = "SELECT /*+ MERGE(s) */ o.*, s.object_id IS NULL AS missing_evidence FROM v_objects o LEFT JOIN (SELECT DISTINCT object_id FROM v_object_sources) s ON s.object_id = o.object_id"
     else:
         blanks = "' ' || " + " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31))
-        shaped = f"t = '' OR t[-1] = '?' OR list_contains([{', '.join(f"'{p}'" for p in SHAPES)}], CASE WHEN contains(t, ' ') THEN split_part(t, ' ', 1) END) OR len(list_filter(regexp_split_to_array(t, '[\\t-\\r ]+'), lambda w: w <> '')) > 12"
+        shaped = f"t = '' OR t[-1] = '?' OR list_contains([{', '.join(f"'{p}'" for p in SHAPES)}], CASE WHEN contains(t, ' ') THEN split_part(t, ' ', 1) ELSE '' END) OR len(list_filter(regexp_split_to_array(t, '[\\t-\\r ]+'), lambda w: w <> '')) > 12"
         title, body = f"lower(trim(coalesce(title, ''), {blanks}))", f"length(trim(coalesce(content, ''), {blanks}))"
         sourced = "SELECT o.*, o.object_id NOT IN (SELECT object_id FROM v_object_sources) AS missing_evidence FROM v_objects o"
     return f"SELECT object_id, tenant_id, {shaped} AS shaped, n < 80 AS thin, missing_evidence FROM (SELECT object_id, tenant_id, missing_evidence, {title} AS t, {body} AS n FROM ({sourced}) o1) o2"
