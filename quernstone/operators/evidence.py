@@ -102,28 +102,6 @@ sum(CASE WHEN status = 'queued' AND attempts > 0 THEN 1 ELSE 0 END) AS waiting,
     return f"SELECT CASE WHEN reasons = '' THEN 'OK' ELSE 'WARNING' END AS status, reasons FROM (SELECT {reasons} AS reasons FROM ({queue}) q CROSS JOIN ({stored}) s CROSS JOIN ({granted}) g) t"
 
 
-@R.add("ctx_answer_record")
-def _(d: Dialect) -> str:
-    """The record of an answer: what it may say, how it is qualified, and its claims with their evidence."""
-    # The sentences below.
-    classes = RELATIONAL["ctx_classify"](d)
-    refs = ", ".join(f"{d.joined_set(f"CASE WHEN class = '{c}' THEN CAST(span_no AS {d.text}) END")} AS {name}" for c, name in (("fully", "supporting"), ("partially", "partial"), ("unconstrained", "background"), ("incompatible", "conflicting")))
-    conflicts = f"SELECT query_id, {d.joined_set('dimension_id', ', ')} AS dims FROM ({RELATIONAL['ctx_conflicts'](d)}) c GROUP BY query_id"
-    rules = f"""SELECT query_id, {d.joined("concat('Domain rule applied to ', dimension_id)", 'dimension_id', '; ')} AS applied, {d.joined("concat(dimension_id, ': ', rationale)", 'dimension_id', '; ')} AS rationales,
-{d.joined("concat('Resolved ', dimension_id, '=', resolved_value, ' via domain rule: ', rationale, ' (conflicting values retained: ', preserved_values, ')')", 'dimension_id', ' | ')} AS resolved FROM ({R['ctx_domain_rules'](d)}) g GROUP BY query_id"""
-    return f"""
-SELECT concat('ans-', CAST(envelope_id AS {d.text}), '-r', CAST(revision AS {d.text})) AS answer_id, coalesce(nullif(said, ''), 'No material evidence or assumptions for a useful answer.') AS content, qualifications, claims, reason FROM
-(SELECT e.envelope_id, e.revision, k.reason,
- concat_ws('; ', CASE WHEN s.supporting <> '' THEN 'Supported findings available.' END, CASE WHEN s.partial <> '' THEN 'Partial findings available with qualification.' END, r.applied) AS said,
- concat_ws(' | ', CASE WHEN k.reason = 'unresolved_high_sensitivity' THEN concat('Unresolved high-sensitivity dimensions: ', e.dimension_id) END, 'Conflicts retained: ' || c.dims,
-   CASE WHEN s.partial <> '' THEN 'Partial compatibility disclosed; not full substantiation.' END, 'Domain rules applied: ' || r.rationales) AS qualifications,
- concat_ws(' | ', CASE WHEN s.supporting <> '' THEN concat('supported:', s.supporting) END, CASE WHEN s.partial <> '' THEN concat('partial:', s.partial) END, CASE WHEN s.background <> '' THEN concat('background:', s.background) END,
-   CASE WHEN c.dims IS NOT NULL THEN concat('conflicted:', c.dims, ':', coalesce(s.conflicting, '')) END, r.resolved) AS claims
- FROM v_envelopes e JOIN ({R['ctx_completion'](d)}) k ON k.envelope_id = e.envelope_id
- LEFT JOIN (SELECT query_id, {refs} FROM ({classes}) x GROUP BY query_id) s ON s.query_id = e.envelope_id
- LEFT JOIN ({conflicts}) c ON c.query_id = e.envelope_id LEFT JOIN ({rules}) r ON r.query_id = e.envelope_id) t"""
-
-
 @R.add("ctx_snapshots")
 def _(d: Dialect) -> str:
     """A snapshot for each retrieval, never overwritten: a name that is taken gets the next number, and each one names the one before it."""

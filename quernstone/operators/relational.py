@@ -92,15 +92,6 @@ FROM v_constraints c JOIN v_envelopes e ON e.envelope_id = c.query_id AND e.dime
     ctx_conflicts="""
 SELECT c.query_id, c.dimension_id, count(DISTINCT c.value_text) AS n_values FROM v_constraints c JOIN v_envelopes e ON e.envelope_id = c.query_id AND e.dimension_id = c.dimension_id
 WHERE NOT c.is_list AND c.value_text IS NOT NULL GROUP BY c.query_id, c.dimension_id HAVING count(DISTINCT c.value_text) > 1""",
-    ctx_affordances="""
-WITH seen AS (SELECT DISTINCT query_id, dimension_id, value_text FROM v_constraints WHERE value_text IS NOT NULL AND NOT is_list),
-n AS (SELECT query_id, dimension_id, count(*) AS k FROM seen GROUP BY query_id, dimension_id)
-SELECT e.envelope_id, e.dimension_id, s.value_text, CASE WHEN n.k > 1 THEN 'available' WHEN n.k = 1 THEN 'reuse' ELSE 'retrievable' END AS kind
-FROM v_envelopes e LEFT JOIN n ON n.query_id = e.envelope_id AND n.dimension_id = e.dimension_id
-LEFT JOIN seen s ON s.query_id = e.envelope_id AND s.dimension_id = e.dimension_id WHERE e.status <> 'resolved'""",
-    ctx_open_high="""
-SELECT e.envelope_id, e.status, o.o_orderpriority AS sensitivity FROM v_envelopes e JOIN orders o ON o.o_orderkey = e.envelope_id
-WHERE e.status IN ('missing', 'partially_resolved') AND o.o_orderpriority LIKE '1%'""",
 )
 
 

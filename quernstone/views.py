@@ -104,6 +104,37 @@ SELECT o_orderkey AS envelope_id, 1 + o_orderkey % 3 AS revision, 'returnflag' A
        CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'partially_resolved' ELSE 'missing' END AS status,
        CASE WHEN o_orderstatus = 'F' THEN 'A' END AS value_text
 FROM orders
+""",
+    "v_answer_envelopes": """
+SELECT concat('e', CAST(o_orderkey AS STRING)) AS envelope_id, o_orderkey AS query_id, CAST(1 + o_orderkey % 3 AS INTEGER) AS revision,
+       CASE WHEN o_orderkey % 4 <> 0 THEN concat('snap-', CAST(o_orderkey AS STRING)) END AS evidence_set_ref FROM orders
+UNION ALL SELECT concat('again', CAST(o_orderkey AS STRING)), o_orderkey, 1, NULL FROM orders WHERE o_orderkey % 6 = 0
+""",
+    "v_answer_parameters": """
+SELECT concat('e', CAST(o_orderkey AS STRING)) AS envelope_id, 'returnflag' AS dimension_id,
+       CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'P' THEN 'partially_resolved' ELSE 'missing' END AS status, CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'P' THEN 'R' END AS value,
+       CASE WHEN o_orderkey % 5 = 0 THEN 'N' END AS assumption, CASE o_orderkey % 10 WHEN 0 THEN 'user' WHEN 5 THEN NULL ELSE 'evidence' END AS source
+FROM orders WHERE o_orderkey % 11 <> 0
+UNION ALL
+SELECT concat('e', CAST(o_orderkey AS STRING)), 'linestatus', CASE o_orderkey % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'missing' WHEN 2 THEN 'partially_resolved' ELSE 'present' END,
+       CASE o_orderkey % 4 WHEN 0 THEN 'O' WHEN 1 THEN NULL ELSE 'F' END, CASE WHEN o_orderkey % 9 = 0 THEN 'O' END, 'evidence'
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0
+UNION ALL
+SELECT concat('e', CAST(o_orderkey AS STRING)), CASE WHEN o_orderpriority LIKE '1%' THEN 'priority' ELSE 'unregistered' END, CASE WHEN o_orderkey % 3 = 0 THEN 'unsupported' ELSE 'missing' END,
+       CASE WHEN o_orderkey % 8 = 1 THEN 'high' END, NULL, NULL
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderpriority < '3'
+""",
+    "v_dimensions": """
+SELECT 'returnflag' AS dimension_id, '1' AS version, 'low' AS sensitivity, false AS can_be_assumed UNION ALL SELECT 'returnflag', '2', 'high', true
+UNION ALL SELECT 'linestatus', '10', 'low', true UNION ALL SELECT 'linestatus', '9', 'high', false UNION ALL SELECT 'priority', '1', 'high', NULL
+""",
+    "v_domain_rules": """
+SELECT 'returnflag' AS dimension_id, 'A' AS preferred, 'accepted returns lead' AS rationale UNION ALL SELECT 'priority', 'high', 'urgent leads'
+""",
+    "v_paths": """
+SELECT concat('e', CAST(o_orderkey AS STRING)) AS envelope_id, 'priority' AS dimension_id FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat('e', CAST(o_orderkey AS STRING)), 'returnflag' FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT concat('e', CAST(o_orderkey AS STRING)), 'unregistered' FROM orders WHERE o_orderkey % 5 <> 0
 """,
 }
 
