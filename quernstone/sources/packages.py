@@ -23,14 +23,6 @@ def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("objects")).crossJoin(lost.agg(F.count("*").alias("differences")))  # one row by one row
 
 
-def platform_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder for each platform, and what partition discovery reads from them."""
-    path = shared_folder(spark)
-    rows = view(spark, sf_dir, "v_conversations").select("conv_id", "title", F.coalesce(F.expr("nullif(source_platform, '')"), F.lit("Unknown")).alias("source_platform"))
-    rows.write.partitionBy("source_platform").json(path)
-    return spark.read.schema("conv_id long, title string, source_platform string").json(path)
-
-
 def export_objects(objects: DataFrame, tenant: str, silo: str) -> DataFrame:
     """Stores the last row of each object with its JSON. One row of another tenant or silo refuses the whole export."""
     if not objects.where(~(F.col("tenant_id").eqNullSafe(tenant) & F.col("silo_id").eqNullSafe(silo))).isEmpty():
@@ -47,10 +39,9 @@ def object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_objects(mine, "t1", "s0").select("object_id", "source_platform", F.get_json_object("raw_json", "$.title").alias("title"))
 
 
-QUERIES = {"pkg_roundtrip": package_roundtrip, "sink_platform_packages": platform_packages, "sink_object_store": object_store}
+QUERIES = {"pkg_roundtrip": package_roundtrip, "sink_object_store": object_store}
 
 R.plain(
     pkg_roundtrip="SELECT count(*) AS objects, CAST(0 AS BIGINT) AS differences FROM v_objects",
     sink_object_store=f"SELECT object_id, source_platform, title FROM v_objects o WHERE tenant_id = 't1' AND silo_id = 's0' AND NOT {DENIED}",
-    sink_platform_packages="SELECT conv_id, title, coalesce(nullif(source_platform, ''), 'Unknown') AS source_platform FROM v_conversations",
 )
