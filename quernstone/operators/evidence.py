@@ -1,4 +1,4 @@
-"""Evidence: which spans, terms and rules bear on a query, what is missing, and how healthy the queue and the package are."""
+"""Evidence: which spans, terms and rules bear on a query, and what is missing."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from .relational import R as RELATIONAL
 
 R = Registry()
 
-#: Limits of the health report, in seconds and events.
-OLD_S, LAG_S, WAITING = 600, 300, 5
-
 R.plain(
     ctx_retrieve="""
 SELECT e.envelope_id, e.revision + 1 AS revision, e.dimension_id, CASE WHEN f.query_id IS NULL THEN 'A' ELSE f.value_text END AS evidence_value, r.n_refs
@@ -79,29 +76,6 @@ FROM (SELECT event_id, lower(concat(CASE event_type WHEN 'signup' THEN 'Grok-' W
       CASE event_type WHEN 'error' THEN '{{"client": "grok"}}' ELSE props END AS body FROM events) e"""
 
 
-@R.add("agg_health_reasons")
-def _(d: Dialect) -> str:
-    at = d.micros("enqueued_at")
-    queue = f"""SELECT sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS queued, sum(CASE WHEN status = 'queued' AND attempts < 5 THEN 1 ELSE 0 END) AS ready,
-sum(CASE WHEN status = 'queued' AND attempts > 0 THEN 1 ELSE 0 END) AS waiting, max({at}) - min(CASE WHEN status = 'queued' THEN {at} END) AS oldest, max({at}) - max(CASE WHEN status = 'processed' THEN {at} END) AS lag_us FROM v_sync_events"""
-    stored = "SELECT count(*) AS objects, count(DISTINCT object_id) AS named FROM v_objects"
-    granted = f"SELECT (SELECT count(*) FROM ({RELATIONAL['join_orphan_permissions'](d)}) o) AS orphans, (SELECT count(*) FROM ({RELATIONAL['join_unpermissioned'](d)}) u) AS unknown, (SELECT count(*) FROM v_permissions WHERE recorded_from_event IS NULL) AS unrecorded"
-    # The names of the reasons.
-    rules = {
-        "failed_events": "failed > 0",
-        "queue_age_high": f"oldest > {OLD_S} * 1000000",
-        "package_lag_high": f"lag_us > {LAG_S} * 1000000",
-        "waiting_retry_high": f"waiting > {WAITING}",
-        "no_ready_events": "queued > 0 AND ready = 0",
-        "objects_without_explicit_permission": "unknown > 0",
-        "object_count_mismatch": "objects <> named",
-        "orphaned_permission_entries": "orphans > 0",
-        "permissions_missing_event_provenance": "unrecorded > 0",
-    }
-    reasons = f"concat_ws(',', {', '.join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in rules.items())})"
-    return f"SELECT CASE WHEN reasons = '' THEN 'OK' ELSE 'WARNING' END AS status, reasons FROM (SELECT {reasons} AS reasons FROM ({queue}) q CROSS JOIN ({stored}) s CROSS JOIN ({granted}) g) t"
-
-
 @R.add("ctx_snapshots")
 def _(d: Dialect) -> str:
     """A snapshot for each retrieval, never overwritten: a name that is taken gets the next number, and each one names the one before it."""

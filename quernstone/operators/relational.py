@@ -60,10 +60,6 @@ SELECT c.source_platform, count(*) AS conversations, CAST(sum(m.n) AS BIGINT) AS
 FROM v_conversations c JOIN (SELECT conv_id, count(*) AS n FROM v_messages GROUP BY conv_id) m ON m.conv_id = c.conv_id
 LEFT JOIN (SELECT conv_id, count(*) AS n FROM v_attachments GROUP BY conv_id) a ON a.conv_id = c.conv_id GROUP BY c.source_platform""",
     agg_provenance_ledger="SELECT tenant_id, silo_id, count(*) AS objects, CAST(sum(CASE WHEN source_platform IS NULL OR source_file IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS incomplete FROM v_objects GROUP BY tenant_id, silo_id",
-    agg_queue_health="""
-SELECT source, CAST(sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS BIGINT) AS queued, CAST(sum(CASE WHEN status = 'processed' THEN 1 ELSE 0 END) AS BIGINT) AS processed,
-       CAST(sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN status = 'queued' AND attempts >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS waiting,
-       CAST(min(CASE WHEN status = 'queued' THEN enqueued_at END) AS STRING) IS NOT NULL AS has_oldest FROM v_sync_events GROUP BY source""",
     agg_permission_stats="""
 SELECT count(*) AS entries, CAST(sum(CASE WHEN can_read = false THEN 1 ELSE 0 END) AS BIGINT) AS denies, CAST(sum(CASE WHEN recorded_from_event IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS with_event,
        CAST(sum(CASE WHEN recorded_from_event IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_event FROM v_permissions""",
