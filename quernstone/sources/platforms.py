@@ -115,18 +115,19 @@ def index_lines(shown: DataFrame, entities: DataFrame, attachments: DataFrame, u
     """place, line, kind, package: title, counts, then conversations by title, entities by value and attachments by file name."""
     of = shown.select(F.col("conv_id").alias("of_conv"), "units").hint("merge")
     met = lambda rows: rows.join(of, F.col("conv_id") == F.col("of_conv"))
-    line = lambda rows, section, by, text: rows.select(F.explode("units").alias("u"), F.lit(section).alias("section"), by.alias("by"), text.alias("line")).select("u.*", "section", "by", "line")
+    line = lambda rows, section, by, text: rows.select(F.explode("units").alias("u"), F.lit(section).alias("section"), by.alias("by"), text.alias("line"), "conv_id").select("u.*", "section", "by", "line", "conv_id")
     title = F.when(F.col("kind") == "unified", UNIFIED_TITLE).otherwise(F.concat("platform_name", F.lit(PLATFORM_TITLE)))
     counts = F.concat(F.lit("**Conversations:** "), F.col("conversations").cast("string"), F.lit(" | **Entities:** "), F.col("entities").cast("string"), F.lit(" | **Attachments:** "), F.col("attachments").cast("string"), F.lit("\n"))
     head = lambda section, text, there: F.struct(F.lit(section).alias("section"), text.alias("line"), there.alias("there"))
     always, headings = F.lit(True), [F.lit(x) for x in INDEXES]
     heads = [head(0, F.concat(F.lit("# "), title, F.lit("\n")), always), head(1, counts, always), head(2, headings[0], always), head(4, headings[1], F.col("entities") > 0), head(6, headings[2], F.col("attachments") > 0)]
     own = units.select(*UNIT, F.explode(F.array(*heads)).alias("x"))
-    rows = own.where("x.there").select(*UNIT, "x.section", F.lit("").alias("by"), "x.line")
+    rows = own.where("x.there").select(*UNIT, "x.section", F.lit("").alias("by"), "x.line", F.lit(None).cast("long").alias("conv_id"))
     rows = rows.unionByName(line(shown, 3, F.col("title"), F.concat(F.lit("- **"), "title", F.lit("** (`"), F.col("conv_id").cast("string"), F.lit("`) - "), F.col("messages").cast("string"), F.lit(" messages"))))
     rows = rows.unionByName(line(met(entities), 5, F.col("value"), F.concat(F.lit("- `"), "value", F.lit("` ("), "type", F.lit(")"))))
     rows = rows.unionByName(line(met(attachments), 7, F.coalesce("file_name", F.lit("attachment")), F.concat(F.lit("- `"), F.coalesce("file_name", F.lit("attachment")), F.lit("` ("), F.coalesce("media_type", F.lit("unknown")), F.lit(") - Summary: "), F.coalesce("summary", F.lit("")))))
-    return numbered(rows, UNIT, [F.col("section"), F.col("by"), F.col("line")], "place").select("place", "line", *UNIT)
+    # The conversation parts equal lines of many conversations into ranges.
+    return numbered(rows, UNIT, [F.col("section"), F.col("by"), F.col("line"), F.col("conv_id")], "place").select("place", "line", *UNIT)
 
 
 def export_packages(conversations: DataFrame, messages: DataFrame, entities: DataFrame, attachments: DataFrame, permissions: DataFrame, folder: str, mode: str | None = BOTH, strict: bool = False) -> None:
