@@ -37,3 +37,24 @@ def test_against_containment(spark, monkeypatch):
     top = W.best(got, 3).collect()
     assert max(x.place for x in top) == 3 and all(x.score >= 1 for x in top)
     assert W.search(spark.createDataFrame([], "item_id long, text string"), spark.createDataFrame(rows, "type string, id string, field string, text string")).count() == 0
+
+
+def test_texts_do_not_travel(spark):
+    """Texts of random letters cannot shrink: what is shuffled and written for few requests must be less than they are."""
+    r = random.Random(3)
+    text = lambda: " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2000))
+    rows = spark.createDataFrame([("knowledge", f"d{i}", "content", text()) for i in range(40)], "type string, id string, field string, text string").repartition(4)
+    requests = spark.createDataFrame([(i, r.choice("abcdefgh") + " abc zz") for i in range(20)], "item_id long, text string")
+    for how in (W.search, W.search_ids):
+        found = how(requests, rows)
+        assert found.count() == 800
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" not in plan.lower() and "Join" not in plan and "collect_list(packed" in plan
+    assert {(x.item_id, x.id) for x in found.collect()} == {(x.item_id, x.id) for x in W.search(requests, rows).collect()}
+
+
+def test_repeated_items_and_null_ids(spark):
+    rows = spark.createDataFrame([("knowledge", "d", "title", "one two"), ("conversation", "d", "title", "two"), ("entity", None, "value", "two")], "type string, id string, field string, text string")
+    requests = spark.createDataFrame([(1, "one"), (1, "two"), (None, "two\u3000ONE")], "item_id long, text string")
+    assert {tuple(x) for x in W.search(requests, rows).collect()} == {(1, "knowledge", "d", 26), (1, "conversation", "d", 10), (1, "entity", None, 4), (None, "knowledge", "d", 6), (None, "conversation", "d", 2), (None, "entity", None, 4)}
+    assert sorted(map(repr, W.search_ids(requests, rows).collect())) == sorted(f"Row(item_id={i}, id={x!r})" for i in (1, None) for x in ("d", None))
