@@ -72,13 +72,17 @@ FILED = """
 SELECT CAST(floor(doc_id / 10) AS BIGINT) AS file, doc_id, CASE WHEN floor(doc_id / 10) % 11 = 3 THEN ' ' WHEN doc_id % 10 = 0 AND floor(doc_id / 10) % 3 = 0 THEN concat(chr(10), '## ', coalesce(text, '')) ELSE coalesce(text, '') END AS line FROM documents"""
 
 
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all files, whole files to a task, in the order in which the writer takes them: else it would sort them anew, by part and
+    file alone, which loses the order of lines where a task spills."""
+    rows = run_sql(spark, sf_dir, FILED).withColumn("line", F.when((F.col("file") % 7 == 5) & (F.col("doc_id") % 10 == 4), F.concat(F.expr("CAST(X'FF' AS STRING)"), "line")).otherwise(F.col("line")))
+    return rows.repartition("file").withColumn("part", F.col("file") % 5).sortWithinPartitions("part", "file", "doc_id").select("part", "file", "line")
+
+
 def folder_of_documents(spark: SparkSession, sf_dir: str) -> str:
     """Writes documents as text files folder/part/file/part-*.txt; each seventh file has a byte that is no UTF-8."""
     path = shared_folder(spark)
-    rows = run_sql(spark, sf_dir, FILED).withColumn("line", F.when((F.col("file") % 7 == 5) & (F.col("doc_id") % 10 == 4), F.concat(F.expr("CAST(X'FF' AS STRING)"), "line")).otherwise(F.col("line")))
-    # A range of files to a task, whole files each.
-    rows = rows.repartition("file").sortWithinPartitions("file", "doc_id").withColumn("part", F.col("file") % 5)
-    rows.select("part", "file", "line").write.partitionBy("part", "file").text(path)
+    filed(spark, sf_dir).write.partitionBy("part", "file").text(path)
     return path
 
 

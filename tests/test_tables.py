@@ -1,5 +1,6 @@
 """Numbers within groups, published tables and their manifest, revisions, and files in folders."""
 
+import glob
 import os
 from collections import defaultdict
 
@@ -56,6 +57,18 @@ def test_folder_of_awkward_files(spark, tmp_path):
     assert files.accepted(files.scan_folder(spark, str(tmp_path))).count() == 4
 
 
+def test_lines_of_a_file_keep_their_order(spark, tmp_path):
+    spark.range(200).selectExpr("199 - id AS doc_id", "concat('line ', 199 - id) AS text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = files.filed(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    # The writer sorts by part and file unless rows come so.
+    assert plan.index("Sort [part") < plan.index("RepartitionByExpression")
+    path = files.folder_of_documents(spark, str(tmp_path))
+    (name,) = glob.glob(f"{path}/part=2/file=2/part-*.txt")
+    with open(name) as f:
+        assert f.read().splitlines() == [f"line {i}" for i in range(20, 30)]
+
+
 def test_permissive_loading(spark, tmp_path):
     os.makedirs(tmp_path / "one"), os.makedirs(tmp_path / "two")
     (tmp_path / "one" / "a.json").write_text('{"id": 1, "kind": "x"}\n{"id": "no"}\n{"id": 2\n[1]\n{"id": 3, "more": {}}\n{}\n')
