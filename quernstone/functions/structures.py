@@ -19,7 +19,12 @@ def csv_structure(text: Column) -> Column:
     """headers, row_count (rows below the header), column_count of a CSV text. Commas, line ends and doubled quotes count as text within
     quotes; an empty line is a row without columns; null and empty texts have no header and no rows."""
     t = F.coalesce(text, F.lit(""))
-    fields, ends = (F.regexp_extract_all(t, F.lit(FIELD), F.lit(g)) for g in (0, 4))
+    cut = F.struct(F.regexp_extract_all(t, F.lit(FIELD), F.lit(0)).alias("fields"), F.regexp_extract_all(t, F.lit(FIELD), F.lit(4)).alias("ends"))
+    # Cut once, however often what follows names the parts.
+    return _let(cut, lambda c: _csv_parts(c["fields"], c["ends"]))
+
+
+def _csv_parts(fields: Column, ends: Column) -> Column:
     n, at = F.size(fields), lambda a, k: F.get(a, F.size(a) - k)
     # One more match, an empty one, stands at the end of the text, unless a comma ends it; behind a last line it is no row.
     rest = (at(fields, 1) != "") | ((n > 1) & at(ends, 2).isin(",", ""))

@@ -45,3 +45,9 @@ def test_character_vector(spark):
     assert all(len(x.v) == 128 and abs(sum(c * c for c in x.v) - 1) < 1e-12 for x in v)
     level = (97 + 98) % 100 / 100
     assert abs(v[0].v[1] / v[0].v[0] - (level + 0.01) / level) < 1e-12
+
+
+def test_csv_is_cut_once(spark):
+    """Fields and ends are two passes over the text; all else reads what they found."""
+    plan = spark.sql("SELECT 'a,b' || id AS t FROM range(3)").select(S.csv_structure(F.col("t")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(t#") == 2
