@@ -104,7 +104,10 @@ class _Requests:
         self.request, self.times = table[:, 1], table[:, 2]
         self.start = np.searchsorted(table[:, 0], np.arange(len(self.ids) + 1))
         self.needed = np.bincount(self.request, minlength=len(terms))
-        self.lengths, self.seen = sorted({len(w) for w in self.ids}), {}
+        self.lengths, self.longer, self.seen = sorted({len(w) for w in self.ids if len(w) <= PIECE}), {}, {}
+        for w in self.ids:
+            if len(w) > PIECE:
+                self.longer.setdefault(w[:PIECE], set()).add(len(w))
 
     def _inside(self, word: str) -> tuple[int, ...]:
         """The request words that stand in a word."""
@@ -112,7 +115,8 @@ class _Requests:
         if got is None:
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
-            parts = (word[i : i + n] for n in self.lengths for i in range(len(word) - n + 1))
+            parts = [word[i : i + n] for n in self.lengths for i in range(len(word) - n + 1)]
+            parts += [word[i : i + n] for i in range(len(word) - PIECE) for n in self.longer.get(word[i : i + PIECE], ())]
             got = self.seen[word] = tuple({self.ids[x] for x in parts if x in self.ids})
         return got
 

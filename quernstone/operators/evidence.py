@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..plans.dialect import Dialect, Registry
+from ..plans.numbering import spread
+from ..views import view
 from .relational import R as RELATIONAL
 
 R = Registry()
@@ -86,3 +91,62 @@ SELECT envelope_id, CASE WHEN taken = 0 THEN preferred ELSE concat(preferred, '-
        CASE WHEN taken = 1 THEN preferred WHEN taken > 1 THEN concat(preferred, '-', CAST(taken - 1 AS {d.text})) END AS parent_snapshot_id
 FROM (SELECT envelope_id, n_refs, {named} AS preferred, row_number() OVER (PARTITION BY envelope_id, revision ORDER BY again) - 1 AS taken
       FROM (SELECT *, 0 AS again FROM ({once}) a UNION ALL SELECT *, 1 FROM ({once}) b WHERE envelope_id % 4 = 0) u) t"""
+
+
+# The same with what a task holds bounded ---------------------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spread(view(spark, sf_dir, "v_constraints").where("NOT is_list AND value_text IS NOT NULL"), _lines(spark, sf_dir).count(), "query_id", "dimension_id")
+    return rows.groupBy("query_id", "dimension_id").agg(F.count_distinct("value_text").alias("n_values")).where("n_values > 1")
+
+
+def _observed(envelopes: DataFrame, constraints: DataFrame, n: int) -> DataFrame:
+    """Constraints beside the envelope and dimension that they bear on; `own` is the envelope's value. Dealt by id alone: Spark knows that
+    envelopes have one dimension, takes it out of the join and would deal anew what it also was a key of."""
+    e = spread(envelopes.select("envelope_id", F.col("dimension_id").alias("own_dimension"), F.col("value_text").alias("own")), n, "envelope_id")
+    c = spread(constraints, n, "query_id")
+    return c.join(e.hint("merge"), (c.query_id == e.envelope_id) & (c.dimension_id == e.own_dimension))
+
+
+def envelope_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "v_constraints").where("NOT is_list AND value_text IS NOT NULL")
+    found = _observed(view(spark, sf_dir, "v_envelopes"), rows, _lines(spark, sf_dir).count())
+    return found.groupBy("query_id", "dimension_id").agg(F.count_distinct("value_text").alias("n_values")).where("n_values > 1")
+
+
+def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, envelopes = _lines(spark, sf_dir).count(), view(spark, sf_dir, "v_envelopes")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("envelope_id"), "o_orderpriority")
+    found = _observed(envelopes, view(spark, sf_dir, "v_constraints"), n).groupBy("query_id", "dimension_id")
+    found = found.agg(F.count_if(F.col("value_text") == F.col("own")).alias("material"), F.count_distinct(F.when(~F.col("is_list"), F.col("value_text"))).alias("values"))
+    found = spread(found, n, "query_id").groupBy("query_id").agg(F.sum("material").alias("material"), F.count_if(F.col("values") > 1).alias("conflicts"))
+    rows = spread(envelopes, n, "envelope_id").join(spread(orders, n, "envelope_id").hint("merge"), "envelope_id")
+    rows = rows.join(found.withColumnRenamed("query_id", "envelope_id").hint("merge"), "envelope_id", "left")
+    delivered = (F.col("status") == "resolved") | (F.coalesce("material", F.lit(0)) > 0)
+    high = F.col("status").isin("missing", "partially_resolved") & F.col("o_orderpriority").startswith("1")
+    rows = rows.select("envelope_id", delivered.alias("delivered"), F.coalesce(high, F.lit(False)).alias("high"), F.coalesce("conflicts", F.lit(0)).alias("conflicts"))
+    reason = F.when(~F.col("delivered"), "insufficient_evidence").when(F.col("high"), "unresolved_high_sensitivity").when(F.col("conflicts") > 0, "conflicts_retained")
+    return rows.select("envelope_id", "delivered", (~F.col("high") & (F.col("conflicts") == 0)).alias("complete"), reason.alias("reason"))
+
+
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first constraint of a dimension is that of the smallest span number, and of rows with the same number the one that is stored first:
+    by file, then by its row there. The SQL leaves this open; DuckDB, too, keeps rows in the order in which they are stored."""
+    lines = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    n = lines.count()
+    each = F.struct(F.lit("returnflag").alias("dimension_id"), F.when(F.col("l_linenumber") != 6, F.col("l_returnflag")).alias("value_text"))
+    other = F.when(F.col("l_linenumber") != 4, F.struct(F.lit("linestatus").alias("dimension_id"), F.col("l_linestatus").alias("value_text")))
+    rows = spread(lines, n, "l_orderkey").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("span_no"), "file", "row", F.explode(F.filter(F.array(each, other), lambda x: x.isNotNull())).alias("c"))
+    firsts = rows.groupBy("query_id", "c.dimension_id").agg(F.min(F.struct(F.col("span_no").isNull(), "span_no", "file", "row", "c.value_text")).alias("first"), F.collect_set("span_no").alias("spans"))
+    found = firsts.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("dimension_id", "first.value_text"))).alias("values"), F.size(F.array_distinct(F.flatten(F.collect_list("spans")))).cast("long").alias("n_refs"))
+    e = spread(view(spark, sf_dir, "v_envelopes").where("status <> 'resolved'"), n, "envelope_id")
+    value = F.when(~F.map_contains_key("values", F.col("dimension_id")), "A").otherwise(F.try_element_at("values", F.col("dimension_id")))
+    return e.join(found.hint("merge"), e.envelope_id == found.query_id).select("envelope_id", (F.col("revision") + 1).alias("revision"), "dimension_id", value.alias("evidence_value"), "n_refs")
+
+
+QUERIES = {"agg_conflicts": conflicts, "ctx_conflicts": envelope_conflicts, "ctx_completion": completion, "ctx_retrieve": retrieve}

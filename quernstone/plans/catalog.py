@@ -22,7 +22,7 @@ def _query(make) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {key: _query(make) for key, make in TEXTS.items()} | ranking.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | chats.QUERIES | published.QUERIES | platforms.QUERIES | revisions.QUERIES | answers.QUERIES | health.QUERIES | order.QUERIES | changes.STREAMS
+    return {key: _query(make) for key, make in TEXTS.items()} | ranking.QUERIES | weighted.QUERIES | structures.QUERIES | packages.QUERIES | documents.QUERIES | folders.QUERIES | imports.QUERIES | files.QUERIES | chats.QUERIES | published.QUERIES | platforms.QUERIES | revisions.QUERIES | answers.QUERIES | health.QUERIES | order.QUERIES | evidence.QUERIES | changes.STREAMS
 
 
 def checks() -> dict[str, str]:

@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from ..streaming.folders import shared_folder
 
 
+#: Rows that a task of spread() holds on average.
+TASK_ROWS = 1_000_000
+
+
+def spread(rows: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """rows dealt by keys to as many tasks as n_rows need; Spark joins none of them, so that what a task holds does not grow with the input."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // TASK_ROWS))
+    return rows.repartition(tasks, *keys)
+
+
 def numbered(rows: DataFrame, groups: list[str], order: list, name: str = "number") -> DataFrame:
     """rows with their number from 0 within each group, in an order. Tasks hold ranges of groups and order; a start for each group of each
     range, from a table with a row for each of these, turns places in a range into numbers. Rows equal in group and order share places
