@@ -30,7 +30,7 @@ SLACK = 0.002
 #: Pieces of a group in the second round, on average.
 GROUP = 16_384
 #: Of a generation; there are two, some 200 bytes a word.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 
 
 class WordTokenizer(dict):
@@ -80,6 +80,11 @@ class WordTokenizer(dict):
         self[part] = got
         return got
 
+    def forget(self) -> None:
+        """Workers wait for other work after a task; they are not to hold its words meanwhile."""
+        self.clear()
+        self.old = {}
+
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -180,18 +185,21 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator
 
     def run(batches):
         encode, kind = tokenizer(path), None
-        for batch in batches:
-            ids, kind = batch.column(0), batch.schema.field(0).type
-            out = [[], [], [], [], []]
-            for i, text in enumerate(batch.column(1)):
-                all_ = encode(text.as_py()) + end
-                for k, at in enumerate(range(0, len(all_), 4 * capacity)):
-                    piece = all_[at : at + 4 * capacity]
-                    for c, v in zip(out, (i, k, at // 4, len(piece) // 4, piece), strict=True):
-                        c.append(v)
-                if len(out[0]) >= 1000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
-                    out = [[], [], [], [], []]
+        try:
+            for batch in batches:
+                ids, kind = batch.column(0), batch.schema.field(0).type
+                out = [[], [], [], [], []]
+                for i, text in enumerate(batch.column(1)):
+                    all_ = encode(text.as_py()) + end
+                    for k, at in enumerate(range(0, len(all_), 4 * capacity)):
+                        piece = all_[at : at + 4 * capacity]
+                        for c, v in zip(out, (i, k, at // 4, len(piece) // 4, piece), strict=True):
+                            c.append(v)
+                    if len(out[0]) >= 1000 or i == batch.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(out[0], pa.int32())), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+                        out = [[], [], [], [], []]
+        finally:
+            encode.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))

@@ -96,3 +96,19 @@ def test_packing(spark):
     whole = {r.sequence_id: len(r.ids) // 4 for r in packing.sequences(packing.pack_pieces(pieces, 256)).collect()}
     assert sum(whole.values()) == sum(r.length for r in got) and max(whole.values()) <= 256
     assert packing.pack_pieces(packing.token_pieces(frame(spark, []), path), 256).collect() == []
+
+
+def test_workers_forget_words_after_a_task(spark):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quernstone.llm import packing
+
+    docs = spark.createDataFrame([(i, f"word{i} other{i} unlike{i}") for i in range(200)], "doc_id long, text string")
+    assert packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 200
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t) + len(t.old) for t in packing._tokenizers.values())], pa.int64())], names=["n"])
+
+    assert {r.n for r in spark.range(8).repartition(4).mapInArrow(held, "n long").collect()} == {0}
