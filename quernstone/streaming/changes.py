@@ -32,10 +32,7 @@ FROM events WHERE event_id % 10 >= 3 AND event_type <> 'error' QUALIFY row_numbe
 def fold_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log folded in one job: the last write, delete and permission change of each object."""
     events = queue.lanes(run_sql(spark, sf_dir, "SELECT * FROM v_sync_events"))
-    of = lambda lane, what: F.max_by(F.when(F.col("lane") == lane, F.col(what)), F.when(F.col("lane") == lane, F.col("event_id")))
-    at = lambda lane: F.max(F.when(F.col("lane") == lane, F.col("event_id"))).alias(lane)
-    state = events.groupBy(*queue.SCOPE).agg(at("written"), at("deleted"), at("permitted"), of("written", "text").alias("text"), of("permitted", "can_read").alias("can_read"))
-    return queue.living(state)
+    return queue.living(queue.last_changes(events))
 
 
 def fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

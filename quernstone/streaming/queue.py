@@ -11,7 +11,6 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: What identifies an object in the change log.
 SCOPE = ["source", "tenant_id", "silo_id", "object_id"]
@@ -34,7 +33,7 @@ def drain(query: DataFrame, folder: str, each: Callable[[DataFrame, int], None],
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """State stores with several columns and lists for each key need RocksDB; what is set now goes into a new stream's checkpoint."""
+    """RocksDB, so that the states of all objects need not fit the memory of the executors; what is set now goes into a new stream's checkpoint."""
     name, found = "spark.sql.streaming.stateStore.providerClass", None
     found = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -58,41 +57,24 @@ def lanes(events: DataFrame) -> DataFrame:
 
 
 def _latest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last event of each lane of each object; so an object with very many events sends a few rows a task to its state."""
+    """The last event of each lane of each object, a batch at a time: the plain form of what last_changes does in a task before rows are dealt."""
     for rows in batches:
         yield rows.sort_values("event_id").drop_duplicates(["lane", *SCOPE], keep="last")
 
 
-class Fold(StatefulProcessor):
-    """The last write, delete and permission change of an object. Each is a maximum over event numbers, so replays change nothing and
-    batches may come split or out of order; a permission may come before its object, and a delete takes both."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        written, text, deleted, permitted, can_read = self.last.get() if self.last.exists() else (None,) * 5
-        for part in rows:
-            for r in part.itertuples():
-                if r.lane == WRITTEN and (written is None or r.event_id > written):
-                    written, text = int(r.event_id), r.text
-                elif r.lane == DELETED and (deleted is None or r.event_id > deleted):
-                    deleted = int(r.event_id)
-                elif r.lane == PERMITTED and (permitted is None or r.event_id > permitted):
-                    permitted, can_read = int(r.event_id), bool(r.can_read)
-        self.last.update((written, text, deleted, permitted, can_read))
-        values = {"written": "Int64", "deleted": "Int64", "permitted": "Int64", "text": "object", "can_read": "boolean"}
-        row = dict(zip(SCOPE, key, strict=True)) | {"written": written, "text": text, "deleted": deleted, "permitted": permitted, "can_read": can_read}
-        yield pd.DataFrame([row]).astype(values)
-
-    def close(self) -> None:
-        pass
+def last_changes(changed: DataFrame) -> DataFrame:
+    """The last write, delete and permission change of each object, of lanes. Each is a maximum over event numbers, so replays change nothing and
+    batches may come split or out of order; a permission may come before its object, and a delete takes both. As an aggregate it is the
+    state of a stream too, without Python for each object."""
+    on = lambda lane, what: F.when(F.col("lane") == lane, F.col(what))
+    at = lambda lane: F.max(on(lane, "event_id")).alias(lane)
+    of = lambda lane, what: F.max_by(on(lane, what), on(lane, "event_id")).alias(what)
+    return changed.groupBy(*SCOPE).agg(at(WRITTEN), of(WRITTEN, "text"), at(DELETED), at(PERMITTED), of(PERMITTED, "can_read"))
 
 
 def fold_changes(events: DataFrame, folder: str) -> None:
     """Folds a stream of events (EVENT) into versions of objects, a folder for each batch."""
-    shape = ", ".join(f"{c} string" for c in SCOPE) + f", {STATE}"
-    changed = lanes(events).mapInPandas(_latest, LANES).groupBy(*SCOPE).transformWithStateInPandas(Fold(), shape, "Update", "None")
+    changed = last_changes(lanes(events))
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/versions/batch={number}")

@@ -75,6 +75,20 @@ def test_fold_sends_few_rows_for_a_hot_object(spark):
     assert queue.lanes(hot).mapInPandas(queue._latest, queue.LANES).count() <= 50
 
 
+def test_fold_runs_no_python_for_an_object(spark, folder, monkeypatch):
+    spark.createDataFrame(some_events(), queue.EVENT).write.parquet(f"{folder}/in")
+    folds = []
+    monkeypatch.setattr(queue, "drain", lambda query, *_: folds.append(query))
+    queue.fold_changes(queue.files(spark, f"{folder}/in", queue.EVENT), folder)
+    plan = folds[0]._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Pandas" not in plan and "TransformWithState" not in plan
+    # A hot object leaves a task as one row.
+    hot = spark.range(0, 50_000, 1, 3).select(F.col("id").alias("event_id"), F.lit("update").alias("kind"), F.col("id").cast("string").alias("text"), F.lit(None).cast("boolean").alias("can_read"), *[F.lit("a").alias(c) for c in queue.SCOPE])
+    one = queue.last_changes(queue.lanes(hot))
+    assert [(r.written, r.text, r.deleted, r.permitted, r.can_read) for r in one.collect()] == [(49_999, "49999", None, None, None)]
+    assert "partial_max_by" in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_inside_and_outside_a_watermark(spark, folder):
     shape = "event_id long, occurred_at timestamp, note string"
     t0 = datetime(2024, 1, 1)
