@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernstone.operators import revisions as V
+from quernstone.plans import numbering
 from quernstone.plans.numbering import numbered
 from quernstone.sources import files, published
 
@@ -25,6 +26,35 @@ def test_numbers_within_groups(spark):
     assert numbered(data.where("false"), ["g"], [F.col("id")]).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_numbers_deal_rows_once(spark, monkeypatch, few):
+    monkeypatch.setattr(numbering, "FEW", few)
+    data = spark.range(0, 4000, 1, 5).selectExpr("id", "nullif(id * 7 % 3, 1) AS g", "concat('t', id % 500) AS k")
+    got = numbered(data, ["g"], [F.col("k").desc(), "id"])
+    want = {}
+    for r in sorted(data.collect(), key=lambda r: r.id):
+        want.setdefault(r.g, []).append(r)
+    want = {r.id: n for rows in want.values() for n, r in enumerate(sorted(rows, key=lambda r: r.k, reverse=True))}
+    assert {r.id: r.number for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # Written rows have their places; few starts come to them.
+    assert "Window" not in plan and ("Exchange hashpartitioning" in plan) == (few == 0)
+
+
+def test_texts_are_searched_once_for_published_entities(spark, tmp_path, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def publish(spark, tables, folder):
+        plan = tables["entities"]._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in plan and "Generate" not in plan
+        raise Seen
+
+    monkeypatch.setattr(published, "publish", publish)
+    with pytest.raises(Seen):
+        published.published_tables(spark, "/root/testdata/sf0.001")
+
+
 def test_nothing_is_published_without_a_manifest(spark, tmp_path):
     rows = spark.createDataFrame([("t", "s", f"{i:04}") for i in range(1201)] + [("t", "z", "0")], "tenant_id string, silo_id string, id string")
     published.publish(spark, {"one": rows, "none": rows.where("false")}, f"{tmp_path}/a")
